@@ -1 +1,8 @@
 """sparktally: count-cube analytics and probabilistic classification on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
