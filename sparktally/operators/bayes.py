@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ def m_estimate(n: Column, total: Column, k: Column | float, m: float = 1.0) -> C
     return (n + m / k) / (total + m)
 
 
+def log_factor(n: str, total: str, k: float, m: float) -> Column:
+    """Log m-estimates of an array of counts over an array of totals."""
+    return F.zip_with(n, total, lambda a, b: F.log(m_estimate(a, b, F.lit(float(k)), m)))
+
+
+def log_prior(n: Column, total: Column, k: float, m: float, plus: float = 0.0) -> Column:
+    """Log m-estimates of an array of counts over one total."""
+    return F.transform(n, lambda a: F.log(m_estimate(a, total, F.lit(float(k)), m)) + plus)
+
+
 class Lookup:
     """Training counts of attribute tuples, looked up for rows to score.
 
@@ -77,7 +88,7 @@ class Network:
             rows = lookup.add(rows, [a, *ps], "_n")
             if ps:
                 rows = lookup.add(rows, list(ps), "_np")
-            rows = rows.withColumn("_f", F.zip_with("_n", "_np" if ps else "_ny", lambda n, t: F.log(m_estimate(n, t, F.lit(float(sizes[a])), self.m))))
+            rows = rows.withColumn("_f", log_factor("_n", "_np" if ps else "_ny", sizes[a], self.m))
             rows = rows.withColumn("_lp", F.zip_with("_lp", "_f", lambda x, y: x + y)).drop("_n", "_np", "_f")
         return rows.withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny")
 
@@ -161,7 +172,7 @@ def prefix_errors(cells: DataFrame, net: Network, lookup: Lookup, sizes: dict[st
         rows = lookup.add(rows, [a, *ps], "_n").withColumn("_n", less("_n"))
         if ps:
             rows = lookup.add(rows, list(ps), "_np").withColumn("_np", less("_np"))
-        f = F.zip_with("_n", "_np" if ps else "_ny", lambda n, t: F.log(m_estimate(n, t, F.lit(float(sizes[a])), net.m)))
+        f = log_factor("_n", "_np" if ps else "_ny", sizes[a], net.m)
         rows = rows.withColumn("_f", f).withColumn("_lp", F.zip_with("_lp", "_f", lambda x, y: x + y)).drop("_n", "_np", "_f").withColumn(f"_e{i}", err())
     sums = rows.agg(F.sum("n").alias("n"), *(F.sum(f"_e{i}").alias(f"_e{i}") for i in range(len(order) + 1)))
     return sums.select("n", F.explode(F.array(*(F.struct(F.lit(i).alias("prefix"), F.col(f"_e{i}").alias("sse")) for i in range(len(order) + 1)))).alias("e")).select("e.prefix", "n", "e.sse")
@@ -193,8 +204,6 @@ class AnDE:
     #: Subsumption: an attribute value that another one implies (as often seen, this often at least) is left out.
     subsume: int | None = None
     min_count: int = 1
-    #: log-space product of parents instead of a sum (joint estimators)
-    product: bool = False
 
     def score(self, rows: DataFrame, lookup: Lookup, sizes: dict[str, int]) -> DataFrame:
         classes, nc = lookup.classes, len(lookup.classes)
@@ -228,11 +237,12 @@ class AnDE:
             for a in p:
                 k *= sizes[a]
             own = F.col(name(p))
-            lp = F.transform(own, lambda n, k=k: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(float(nc) * k), self.m)))
+            w = 1.0 if self.weights is None else self.weights[p]
+            lp = log_prior(own, array_sum(F.col("_ny")), nc * k, self.m, log(w) if w > 0 else 0.0)
             for c in kids:
                 if c in p:
                     continue
-                f = F.zip_with(name(p | {c}), name(p), lambda n, t, c=c: F.log(m_estimate(n, t, F.lit(float(sizes[c])), self.m)))
+                f = log_factor(name(p | {c}), name(p), sizes[c], self.m)
                 if c in dropped:
                     f = F.when(dropped[c], zeros).otherwise(f)
                 lp = F.zip_with(lp, f, lambda x, y: x + y)
@@ -240,18 +250,17 @@ class AnDE:
             for a in p:
                 if a in dropped:
                     active = active & ~dropped[a]
-            w = 1.0 if self.weights is None else self.weights[p]
-            rows = rows.withColumn(f"_v{i}", F.when(active & F.lit(w > 0), F.transform(lp, lambda x, w=w: x + F.log(F.lit(float(w) if w > 0 else 1.0)))))
+            rows = rows.withColumn(f"_v{i}", F.when(active & F.lit(w > 0), lp))
             votes.append(F.col(f"_v{i}"))
         every = F.filter(F.array(*votes), lambda v: v.isNotNull())
         top = F.array_max(F.flatten(every))
         summed = F.aggregate(every, zeros, lambda acc, v: F.zip_with(acc, v, lambda s, x: s + F.exp(x - top)))
         whole = F.aggregate(summed, F.lit(0.0), lambda a, b: a + b)
-        rows = rows.withColumn("_votes", F.size(every)).withColumn("_p", F.transform(summed, lambda x: x / whole))
+        rows = rows.withColumn(f"_votes{self.n}", F.size(every)).withColumn(f"_p{self.n}", F.transform(summed, lambda x: x / whole))
         rows = rows.drop(*(f"_v{i}" for i in range(len(parents))), *(name(s) for s in need), *(f"_d_{a}" for a in dropped), "_ny")
         lower = AnDE(self.atts, self.n - 1, self.m) if self.n > 1 else naive_bayes(self.atts, self.m)
         rows = lower.score(rows, lookup, sizes)
-        return rows.withColumn("p", F.when(F.col("_votes") > 0, F.col("_p")).otherwise(F.col("p"))).drop("_votes", "_p")
+        return rows.withColumn("p", F.when(F.col(f"_votes{self.n}") > 0, F.col(f"_p{self.n}")).otherwise(F.col("p"))).drop(f"_votes{self.n}", f"_p{self.n}")
 
 
 @dataclass
@@ -272,6 +281,10 @@ class A2JE:
         return rows.withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny")
 
 
+def _log_density(x: Column, means: str, sds: str) -> Column:
+    return F.zip_with(means, sds, lambda mu, sd: -F.log(sd) - F.pow((x - mu) / sd, 2) / 2)
+
+
 @dataclass
 class Gaussian:
     """Gaussian naive Bayes: categorical factors by m-estimate, numeric ones by each class's normal density; nulls are skipped."""
@@ -286,7 +299,7 @@ class Gaussian:
         stats = train.agg(*(F.array(*(f(F.when(F.col("y") == c, F.col(v))) for c in classes)).alias(f"_{n}_{v}") for v in self.nums for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
         rows = rows.crossJoin(F.broadcast(stats)).withColumn("_lp", F.transform("p", lambda x: F.log(x)))
         for v in self.nums:
-            f = F.zip_with(f"_mean_{v}", f"_sd_{v}", lambda mu, sd, v=v: -F.log(sd) - F.pow((F.col(v) - mu) / sd, 2) / 2)
+            f = _log_density(F.col(v), f"_mean_{v}", f"_sd_{v}")
             rows = rows.withColumn("_lp", F.when(F.col(v).isNull(), F.col("_lp")).otherwise(F.zip_with("_lp", f, lambda a, b: a + F.coalesce(b, F.lit(0.0)))))
         return rows.withColumn("p", softmax(F.col("_lp"))).drop("_lp", *(f"_{n}_{v}" for v in self.nums for n in ("mean", "sd")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bayes import LEARNERS, Lookup, m_estimate, predicted
+from .bayes import LEARNERS, Lookup, log_factor, m_estimate, predicted
 from .counts import cuboid, domain_sizes, fold_of, labels
 from .sampling import hash_sample
 
@@ -54,7 +54,7 @@ def prequential_nb(df: DataFrame, atts: list[str], classes: list[str], sizes: di
     total = F.aggregate(ny, F.lit(0.0), lambda a, b: a + b)
     lp = F.transform(ny, lambda n: F.log(m_estimate(n, total, F.lit(float(len(classes))), m)))
     for a in atts:
-        lp = F.zip_with(lp, F.zip_with(F.col("m")[a], ny, lambda n, t, a=a: F.log(m_estimate(n, t, F.lit(float(sizes[a])), m))), lambda x, y: x + y)
+        lp = F.zip_with(lp, log_factor(F.col("m")[a], ny, sizes[a], m), lambda x, y: x + y)
     rows = rows.withColumn("pred", predicted(lp, classes))
     return rows.select(seq, "y", "pred", F.when(F.col("pred") != F.col("y"), 1).otherwise(0).alias("error"))
 

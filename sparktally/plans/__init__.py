@@ -1,6 +1,6 @@
 """The query catalogue: importing this package registers every query."""
 
-from . import cubes_and_measures  # noqa: F401
+from . import cubes_and_measures, learning  # noqa: F401
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES", "query"]

@@ -38,7 +38,7 @@ def entropy_sql(src: str, by: list[str], x: list[str], name: str = "value") -> s
 def network_sql(atts: list[str], parents: dict[str, list[str]], inst: str = "inst", train: str = "inst", m: float = 1.0) -> str:
     """(atts..., y, class, p): posterior of the distinct (tuple, y) cells under a Bayesian network with m-estimates."""
     f = [f"cells AS (SELECT {', '.join(atts)}, y, count(*) AS n FROM {inst} GROUP BY ALL)", f"cls AS (SELECT y AS class, count(*) AS ny FROM {train} GROUP BY y)", "tot AS (SELECT sum(ny) AS nn, count(*) AS k FROM cls)"]
-    joins, terms = "", [f"ln((ny + {m}::DOUBLE / k) / (nn + {m}))"]
+    joins, terms = "", [f"ln((ny + {m}::DOUBLE / tot.k) / (nn + {m}))"]
     for a in atts:
         ps = parents.get(a, [])
         keys = [a, *ps]
@@ -58,7 +58,7 @@ def network_sql(atts: list[str], parents: dict[str, list[str]], inst: str = "ins
     return ", ".join(f)
 
 
-def ande_sql(atts: list[str], n: int, inst: str = "inst", m: float = 1.0, weights: str | None = None, selected: list[str] | None = None, children: list[str] | None = None, product: bool = False) -> str:
+def ande_sql(atts: list[str], n: int, inst: str = "inst", m: float = 1.0, weights: str | None = None, selected: list[str] | None = None, children: list[str] | None = None) -> str:
     """CTEs ending in post(atts..., y, n, class, p): averaged n-dependence estimators; every cell of ``inst`` has seen parents."""
     place = {a: i for i, a in enumerate(atts)}
     key = lambda s: sorted(s, key=place.get)
