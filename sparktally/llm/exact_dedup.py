@@ -124,7 +124,7 @@ def fold_locally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-HEAD = struct.Struct("<q?qqqI")
+HEAD = "<q?qqqI"
 GROUPS = pa.schema([("rep_key", pa.int64()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 GROUPS_DDL = "rep_key long, keep_id long, keep_row long, group_size long"
 CHUNK = 50_000
@@ -179,13 +179,13 @@ def grace(records: Iterator[tuple], level: int, budget: int) -> Iterator[pa.Reco
 
 def _spill(files: list, h: int, rec: tuple) -> None:
     f = files[(h >> 40) % FAN_OUT]
-    f.write(HEAD.pack(*rec[:5], len(rec[5])))
+    f.write(struct.pack(HEAD, *rec[:5], len(rec[5])))
     f.write(rec[5])
 
 
 def _unspill(f) -> Iterator[tuple]:
-    while head := f.read(HEAD.size):
-        *rec, size = HEAD.unpack(head)
+    while head := f.read(struct.calcsize(HEAD)):
+        *rec, size = struct.unpack(HEAD, head)
         yield (*rec, f.read(size))
 
 
