@@ -11,7 +11,7 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,12 +127,12 @@ def mdl(counts: DataFrame, classes: list[str]) -> DataFrame:
     """(att, cut): one task per attribute reads its distinct values with class counts, not its rows."""
     per = counts.groupBy("att", "value").agg(F.array(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)) for c in classes)).alias("c"))
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("value")
-        cuts = mdl_cuts(pdf["value"].to_numpy(), np.array(pdf["c"].tolist(), dtype=float))
-        return pd.DataFrame({"att": [key[0]] * len(cuts), "cut": cuts})
+    def fit(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("value")
+        cuts = mdl_cuts(t["value"].to_numpy(), np.array(t["c"].to_pylist(), dtype=float))
+        return pa.table({"att": pa.array([key[0].as_py()] * len(cuts), pa.string()), "cut": pa.array(cuts, pa.float64())})
 
-    return per.groupBy("att").applyInPandas(fit, "att string, cut double")
+    return per.groupBy("att").applyInArrow(fit, "att string, cut double")
 
 
 def apply_cuts(df: DataFrame, cuts: DataFrame, nums: list[str]) -> DataFrame:
