@@ -255,7 +255,7 @@ class AnDE:
         every = F.filter(F.array(*votes), lambda v: v.isNotNull())
         top = F.array_max(F.flatten(every))
         summed = F.aggregate(every, zeros, lambda acc, v: F.zip_with(acc, v, lambda s, x: s + F.exp(x - top)))
-        whole = F.aggregate(summed, F.lit(0.0), lambda a, b: a + b)
+        whole = F.nullif(F.aggregate(summed, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
         rows = rows.withColumn(f"_votes{self.n}", F.size(every)).withColumn(f"_p{self.n}", F.transform(summed, lambda x: x / whole))
         rows = rows.drop(*(f"_v{i}" for i in range(len(parents))), *(name(s) for s in need), *(f"_d_{a}" for a in dropped), "_ny")
         lower = AnDE(self.atts, self.n - 1, self.m) if self.n > 1 else naive_bayes(self.atts, self.m)
