@@ -109,6 +109,8 @@ def class_mi(cells: DataFrame, atts: list[str]) -> DataFrame:
 
 def _cmi_table(cells: DataFrame, atts: list[str]) -> dict[frozenset, float]:
     """On the driver: a number for every pair of attributes, rounded against ties in the last digits."""
+    if len(atts) < 2:
+        return {}
     return {frozenset((r.a1, r.a2)): round(r.value, 9) for r in pair_cmi(cells, atts).collect()}
 
 
