@@ -70,12 +70,8 @@ def correlation_filter(cells: DataFrame, atts: list[str]) -> list[str]:
     return keep
 
 
-def spode_scores(cells: DataFrame, atts: list[str], order: list[str], m: float = 1.0) -> DataFrame:
-    """(parents, children, n, sse): leave-one-out error of AODE for every prefix of parents and of children.
-
-    Both prefixes run over ``order``; one pass over the cells, each cell once for all of the
-    grid. The grid has len(atts) squared points.
-    """
+def _loo_rows(cells: DataFrame, atts: list[str]):
+    """(rows, classes, sizes, name): cells with the counts of every attribute and pair, their own row taken out."""
     classes, sizes = labels(cells), domain_sizes(cells, atts)
     lookup = Lookup(cells, classes)
     own = F.array(*(F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in classes))
@@ -85,6 +81,16 @@ def spode_scores(cells: DataFrame, atts: list[str], order: list[str], m: float =
     for i, a in enumerate(atts):
         for s in [(a,)] + [(a, b) for b in atts[i + 1 :]]:
             rows = lookup.add(rows, list(s), name(*s)).withColumn(name(*s), F.zip_with(name(*s), own, lambda n, o: F.greatest(n - o, F.lit(0.0))))
+    return rows, classes, sizes, name
+
+
+def spode_scores(cells: DataFrame, atts: list[str], order: list[str], m: float = 1.0) -> DataFrame:
+    """(parents, children, n, sse): leave-one-out error of AODE for every prefix of parents and of children.
+
+    Both prefixes run over ``order``; one pass over the cells, each cell once for all of the
+    grid. The grid has len(atts) squared points.
+    """
+    rows, classes, sizes, name = _loo_rows(cells, atts)
     true = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int")
     zeros, errors = F.array(*(F.lit(0.0) for _ in classes)), []
     for nc in range(len(order) + 1):
@@ -112,12 +118,19 @@ def fit_aode_loo(cells: DataFrame, atts: list[str], how: str = "mi", m: float =
 
 
 def loo_weights(cells: DataFrame, atts: list[str], m: float = 1.0) -> dict[frozenset, float]:
-    """Parent weights: one minus the leave-one-out RMSE of the parent's own model, normalised."""
-    out = {}
-    for a in atts:
-        order = [a, *(b for b in atts if b != a)]
-        r = spode_scores(cells, atts, order, m).where((F.col("parents") == 1) & (F.col("children") == len(atts))).first()
-        out[frozenset((a,))] = 1 - (r.sse / r.n) ** 0.5
+    """Parent weights: one minus the leave-one-out RMSE of the parent's own model, normalised. One pass for all parents."""
+    rows, classes, sizes, name = _loo_rows(cells, atts)
+    true = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int")
+    errors = []
+    for i, p in enumerate(atts):
+        lp = log_prior(F.col(name(p)), array_sum(F.col("_ny")), len(classes) * sizes[p], m)
+        for c in atts:
+            if c != p:
+                lp = F.zip_with(lp, log_factor(name(p, c), name(p), sizes[c], m), lambda x, y: x + y)
+        rows = rows.withColumn(f"_l{i}", lp).withColumn(f"_l{i}", softmax(F.col(f"_l{i}")))
+        errors.append(F.sum(F.pow(1 - F.element_at(f"_l{i}", true), 2) * F.col("n")).alias(f"e{i}"))
+    r = rows.agg(F.sum("n").alias("n"), *errors).first()
+    out = {frozenset((a,)): 1 - (r[f"e{i}"] / r["n"]) ** 0.5 for i, a in enumerate(atts)}
     total = sum(out.values()) or 1.0
     return {k: v / total for k, v in out.items()}
 

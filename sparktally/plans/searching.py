@@ -60,7 +60,7 @@ def sub_loo_weight(spark, d):
 
 
 learner("ln_aode_loo", lambda c: S.fit_aode_loo(c, OA))
-learner("ln_aode_bse", lambda c: S.fit_backward_elimination(c, OA))
+learner("ln_aode_bse", lambda c: S.fit_backward_elimination(c, OA[:3]))
 learner("ln_aode_pw", lambda c: N.AnDE(OA, 1, weights=N.mi_weights(c, OA, 1)))
 learner("ln_kdb_ext", lambda c: (lambda keep: N.fit_kdb(c, keep, 2))(S.chi_square_select(c, OA)))
 learner("ln_kdb_fcbf", lambda c: (lambda keep: N.fit_kdb(c, keep, 1))(S.correlation_filter(c, OA)))
