@@ -103,8 +103,8 @@ def snk_sampler(spark, d):
     return X.code_rows(top, {"seg": SEGS}, ["price"], ["F", "O", "P"])
 
 
-@query("snk_petal", f"{INST} SELECT {SEG_CODE.format(m='- 1')} || ',' || printf('%.4f', price) || ',' || {Y_CODE.format(m='- 1')} AS value FROM inst")
-def snk_petal(spark, d):
+@query("snk_codes", f"{INST} SELECT {SEG_CODE.format(m='- 1')} || ',' || printf('%.4f', price) || ',' || {Y_CODE.format(m='- 1')} AS value FROM inst")
+def snk_codes(spark, d):
     return X.code_rows(B.orders_problem(spark, d), {"seg": SEGS}, ["price"], ["F", "O", "P"])
 
 
