@@ -33,6 +33,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Called by a task that is done with large tables: its Python worker lives on beside other stages and should be small then."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most BROADCAST_ROWS rows, else as it is (sort-merge join)."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

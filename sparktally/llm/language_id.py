@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_memory
 from .vocabulary import MARK, MODEL_PATH, load
 
 #: Labelled documents of a language that fitting uses, about; taken by a hash of id and text.
@@ -30,7 +30,7 @@ STRETCH = 32
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words scored at a time.
 BLOCK = 20_000
-CACHE = 300_000
+CACHE = 120_000
 
 
 class Lattice:
@@ -174,19 +174,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     for _ in range(EM_ROUNDS):
         now = probs
 
-        def expect(frames: Iterable[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             lattice, sums = Lattice(pieces), np.zeros((none + 1, k))
-            for pdf in frames:
-                for lang, g in pdf.groupby("lang"):
-                    at = languages.index(lang)
-                    cut = [(s, n) for w, n in zip(g.word, g.n, strict=True) for s in stretches(w)]
-                    sums[:, at] += expected_counts(lattice, now[:, at : at + 1], [s for s, _ in cut], np.array([n for _, n in cut], float))
+            for b in batches:
+                cut: list[list] = [[] for _ in languages]
+                for lang, word, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    cut[languages.index(lang)] += [(s, n) for s in stretches(word)]
+                for at, found in enumerate(cut):
+                    if found:
+                        sums[:, at] += expected_counts(lattice, now[:, at : at + 1], [s for s, _ in found], np.array([n for _, n in found], float))
             piece, lang = np.nonzero(sums)
-            yield pd.DataFrame({"piece": piece, "lang": lang, "n": sums[piece, lang]})
+            yield pa.RecordBatch.from_pydict({"piece": piece, "lang": lang, "n": sums[piece, lang]})
+            release_memory()
 
-        found = words.mapInPandas(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         sums = np.zeros((none + 1, k))
-        sums[found.piece, found.lang] = found.n
+        for r in words.mapInArrow(expect, "piece long, lang long, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect():
+            sums[r.piece, r.lang] = r.n
         probs = (sums + 0.02) / (sums.sum(axis=0) + 0.02 * none)
         probs[none] = 0
     total = sum(counts.values())
@@ -247,16 +250,18 @@ STEP = 500
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior probability; ``und`` and 0 for texts that are null or have no letter."""
 
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
         for texts in batches:
             langs, scores = [], []
             for at in range(0, len(texts), STEP):
-                lang, score = scorer.predict([None if t is None else t for t in texts.iloc[at : at + STEP]])
+                lang, score = scorer.predict(texts.slice(at, STEP).to_pylist())
                 langs += lang
                 scores += score.tolist()
-            yield pd.DataFrame({"lang": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        del scorer
+        release_memory()
 
     d = docs.withColumn("_said", predict(F.col(text_col).cast("string")))
     return d.withColumn(lang_as, F.col("_said.lang")).withColumn(score_as, F.col("_said.score")).drop("_said")

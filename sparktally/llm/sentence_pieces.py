@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 from math import log
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
 from .vocabulary import MARK, MODEL_PATH, Vocabulary, load
 
 #: A literal mark in a text; no valid text holds this code point, so it becomes bytes and decodes to itself.
@@ -29,7 +31,7 @@ UNKNOWN_PENALTY = 10.0
 #: A marked word is a run of marks and what follows up to the next one; no piece goes beyond it.
 MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 #: Words kept from batch to batch.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def zipf_scores(vocab: Vocabulary) -> dict[str, tuple[float, int]]:
@@ -55,7 +57,8 @@ class Encoder:
         self.bytes_of = [t.replace(MARK, " ").encode() if i in normal else b"" for i, t in enumerate(vocab.texts)]
         for b, i in enumerate(vocab.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self.cache: dict[str, list[int]] = {}
+        #: ids of a word as 32-bit numbers
+        self.cache: dict[str, bytes] = {}
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Best pieces of each distinct word; ties go to the shorter last piece."""
@@ -102,8 +105,9 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        cache.update(self.encode_words(w for w in set(chain.from_iterable(split)) if w not in cache))
-        return [np.fromiter(chain.from_iterable(map(cache.__getitem__, words)), np.int32) for words in split]
+        new = self.encode_words(w for w in set(chain.from_iterable(split)) if w not in cache)
+        cache.update((w, array("i", ids).tobytes()) for w, ids in new.items())
+        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text: pieces joined, marks as spaces, bytes as UTF-8, without the space put in front."""
@@ -139,6 +143,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(len, coded)), pa.int64()), pieces, pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]), pa.array([a == b for a, b in zip(texts, back, strict=True)])],
                     schema=schema,
                 )
+        del encoder
+        release_memory()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, ENCODED_DDL)
