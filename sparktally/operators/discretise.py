@@ -8,8 +8,6 @@ class counts), which loses nothing, so no sample of rows is needed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -141,22 +139,3 @@ def apply_cuts(df: DataFrame, cuts: DataFrame, nums: list[str]) -> DataFrame:
     for r in cuts.select("att", "cut").collect():
         found[r.att].append(r.cut)
     return df.withColumns({c: code(F.col(c), sorted(found[c])) for c in nums})
-
-
-def sliding_bins(values: Iterable[float | None], bins: int, window: int) -> list[int | None]:
-    """Online equal-frequency bins: each value against the ``window`` values before it; empty windows give bin 0."""
-    from bisect import bisect_left, insort
-    from collections import deque
-
-    held, order, out = [], deque(), []
-    for v in values:
-        if v is None or v != v:
-            out.append(None)
-            continue
-        out.append(bisect_left(held, v) * bins // len(held) if held else 0)
-        out[-1] = min(out[-1], bins - 1)
-        insort(held, v)
-        order.append(v)
-        if len(order) > window:
-            del held[bisect_left(held, order.popleft())]
-    return out

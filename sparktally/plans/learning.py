@@ -305,7 +305,14 @@ def agg_bias_variance(spark, d):
     return E.bias_variance(parts).select(*(F.round(c, 6).alias(c) for c in ("loss", "variance", "bias")))
 
 
-@query("eval_learning_curve")
+def _curve_sql(size: int) -> str:
+    h = "(id * 7919 + 104729 * {s}) % 1000003"
+    test = f"SELECT * FROM inst ORDER BY {h.format(s=0)}, id LIMIT 1000"
+    train = f"SELECT * FROM inst WHERE id NOT IN (SELECT id FROM tst) ORDER BY {h.format(s=1)}, id LIMIT {size}"
+    return f"SELECT *, {size} AS train_size FROM ({with_inst(ORDERS, f'tst AS ({test})', f'trn AS ({train})', TT)}{LOSS})"
+
+
+@query("eval_learning_curve", " UNION ALL ".join(map(_curve_sql, (100, 200, 400, 800))))
 def eval_learning_curve(spark, d):
     df, out = B.orders_problem(spark, d), None
     for size, (scored, classes) in E.learning_curve(df, OA, [100, 200, 400, 800], 1000).items():

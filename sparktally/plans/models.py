@@ -13,15 +13,15 @@ from ..operators.bayes import Lookup, naive_bayes, predicted
 from ..sources import bindings as B
 from ..streaming import online as O
 from .cubes_and_measures import order_cells
-from .learning import KEY, OA, _losses
+from .learning import KEY, NB_SQL, OA, _losses
 from .registry import query
-from .sqltext import with_inst
+from .sqltext import LOSSES, network_sql, with_inst
 
 ORDERS, EVENTS = B.ORDERS_SQL, B.EVENTS_SQL
 EA = B.EVENT_ATTS
 
 
-def _scored_losses(scored, classes, pred=None):
+def _scored_losses(scored, classes):
     if "n" not in scored.columns:
         scored = scored.withColumn("n", F.lit(1).cast("long"))
     return _losses(scored.withColumn("pred", predicted(F.col("p"), classes)), classes)
@@ -136,7 +136,11 @@ def ln_stack(spark, d):
     return _scored_losses(*G.stacked(B.orders_problem(spark, d), OA))
 
 
-@query("ln_filtered")
+PAIRED = ["prio_seg", "prio_region", "seg_region"]
+PAIRED_SQL = f"SELECT id, y, {', '.join(f'concat_ws(chr(124), {a}, {b}) AS {a}_{b}' for a, b in (('prio', 'seg'), ('prio', 'region'), ('seg', 'region')))} FROM ({ORDERS})"
+
+
+@query("ln_filtered", with_inst(PAIRED_SQL, network_sql(PAIRED, {})) + " " + LOSSES.format(key=", ".join(PAIRED)))
 def ln_filtered(spark, d):
     """Naive Bayes on pairs of attributes made by the quadratic filter."""
     from ..operators.filters import quadratic
@@ -272,7 +276,7 @@ def st_stack(spark, d):
     return O.prequential_logistic(df, ["base", "k4"], C.labels(df)).groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("error"))
 
 
-@query("src_stacked")
+@query("src_stacked", with_inst(ORDERS, NB_SQL) + f" SELECT {KEY}, y, " + ", ".join(f"max(CASE WHEN class = '{c}' THEN round(p, 6) END) AS \"nb_{c}\"" for c in "FOP") + f" FROM post GROUP BY {KEY}, y")
 def src_stacked(spark, d):
     """A base learner's outputs as numeric attributes: one per class."""
     cells = order_cells(spark, d)
