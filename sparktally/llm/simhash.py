@@ -54,15 +54,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(bits.tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a signed 64-bit fingerprint for every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns of ``carry``: a signed 64-bit fingerprint for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    return given.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *carry)))
 
 
 def _long(mask: int) -> Column:
@@ -106,12 +107,12 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of ``prints(doc_id, fp)``: the smallest id among all documents reachable."""
+    """(fp, root, component_id) of ``prints(doc_id, fp)``: the least fingerprint and the smallest id among all documents reachable."""
     points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = connected_components(links(points)).select(F.col("node").alias("fp"), "root")
     rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialise(rooted.join(least, "root").select("fp", "component_id"), "components")
+    return materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,9 +128,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: smallest id; repeated ids leave one row; a group without ids leaves one row."""
+    """One row of ``docs`` for each group: the smallest id, null ids last, then the least hashes of the text and of the row.
+
+    Groups are told apart by their fingerprints, not by ids: a group without ids leaves one
+    row, and an id with texts in two groups may stand for both. Map columns are not hashed.
+    """
     cols = docs.columns
-    groups = near_groups(docs, id_col, text_col)
-    keep = groups.select(F.col("component_id").alias("_keep")).distinct()
-    d = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return d.dropDuplicates([id_col]).select(*cols)
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # nulls do not change a hash, so where they are is hashed as well
+    row = F.xxhash64(*hashed, *(F.col(c).isNull() for c in hashed))
+    d = docs.withColumns({"_th": F.xxhash64(F.col(text_col)), "_row": row})
+    prints = materialise(fingerprints(d, id_col, text_col, ("_th", "_row")), "fingerprints")
+    roots = components(prints).select("fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th", "_row")
+    keep = prints.join(roots, "fp").groupBy("root").agg(F.min(place).alias("first")).select("first._th", "first._row")
+    return d.join(keep, ["_th", "_row"], "left_semi").dropDuplicates(["_th", "_row"]).select(*cols)
