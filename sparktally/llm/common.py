@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of this session's operators by their paths, so that what is read no more can go.
+_SCRATCH: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _SCRATCH.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; the caller has written all that came from them."""
+    for df in tables:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for path in [p for p in _SCRATCH if any(f.endswith(p.removeprefix("file://").removeprefix("file:")) for f in folders)]:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, well or not, the tables written inside: for a caller that has written its own result by then."""
+    before = set(_SCRATCH)
+    try:
+        yield
+    finally:
+        for path in _SCRATCH - before:
+            _delete(spark, path)
+
+
 def release_memory() -> None:
     """Called by a task that is done with large tables: its Python worker lives on beside other stages and should be small then."""
     import ctypes
