@@ -57,7 +57,7 @@ def capped_targets(sources: DataFrame, share_num: int = 3, share_den: int = 2, c
     return s.select("source", "source_size", "weight", F.when(F.col("_full"), (cap * F.col("source_size")).cast("double")).otherwise(cut).alias("target"))
 
 
-def mixing_plan(sizes: DataFrame, targets: DataFrame, seed: str = "mix", max_rounds: int = 20, cap: int = 2) -> DataFrame:
+def mixing_plan(sizes: DataFrame, targets: DataFrame, seed: str = "mix", cap: int = 2) -> DataFrame:
     """One row per source: scale (expected copies of a document of weight 1) and the last rank that is taken.
 
     ``sizes`` has doc_id, source, size, weight; ``targets`` has source and target. With
@@ -68,9 +68,8 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame, seed: str = "mix", max_rou
     t = targets.select(F.col("source").alias("_s"), "target", "source_size")
     plan = plan.join(t, key).select("source", "source_size", "target", "top", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0).alias("scale"))
     plan = materialise(plan, "mixplan")
-    for _ in range(max_rounds):
-        if not plan.where(F.col("scale") * F.col("top") > cap + 1e-9).limit(1).count():
-            break
+    # every round caps more of the distinct weights, so this ends
+    while plan.where(F.col("scale") * F.col("top") > cap + 1e-9).limit(1).count():
         p = plan.select(F.col("source").alias("_s"), "scale", "target")
         over = F.col("scale") * F.col("weight") >= cap
         again = sizes.join(p, key).groupBy("source").agg(
@@ -144,9 +143,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return sizes, mixing_plan(sizes, targets, seed)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: ``docs`` with every row as often as the mix takes it."""
-    cols = docs.columns
-    _, plan = mix(docs, **options)
-    d = with_copies(docs.withColumn("weight", F.lit(1.0)), plan, options.get("seed", "mix"))
-    return d.where("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weight_col: str | None = None, seed: str = "mix", **options) -> DataFrame:
+    """The mix itself: ``docs`` with every row as often as the mix takes it, its columns as they are whatever their names.
+
+    Null ids, null sources and texts, repeated rows and empty tables fare as in ``mix``; an
+    empty table comes back empty, and so does one without words.
+    """
+    _, plan = mix(docs, id_col=id_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
+    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), weight.alias("weight"), F.struct("*").alias("row"))
+    d = with_copies(d, plan, seed).where("copies > 0")
+    d = d.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return d.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -354,14 +354,9 @@ def test_sampler_stretches(monkeypatch):
 
 
 def line_groups(texts):
-    """Brute force over all pairs of lines, with the operator's own link: fingerprints within 3 bits and edit similarity 0.8."""
+    """Brute force over all pairs of lines with a letter or digit: edit similarity 0.8 alone."""
     norm = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
 
-    def fp(s):
-        w = s.split(" ")
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        return sum(1 << i for i in range(63) if 2 * sum(x >> i & 1 for x in h) > len(h))
-
     def edits(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -370,18 +365,22 @@ def line_groups(texts):
                 last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
         return row[-1]
 
-    every = {norm(line) for _, t in texts for line in (t or "").split("\n")}
-    every = sorted(x for x in every if len(x.split(" ")) >= 5)
-    prints, up = [fp(x) for x in every], list(range(len(every)))
+    every = sorted({norm(line) for _, t in texts for line in (t or "").split("\n")} - {""})
+    up = list(range(len(every)))
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
+    letters = [collections.Counter(x) for x in every]
     for i in range(len(every)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and edits(every[i], every[j]) <= int(0.2 * max(len(every[i]), len(every[j])) + 1e-9):
+            n = max(len(every[i]), len(every[j]))
+            most = int(0.2 * n + 1e-9)
+            # letters that one has and the other has not take an edit each, at least
+            apart = max((letters[i] - letters[j]).total(), (letters[j] - letters[i]).total())
+            if apart <= most and edits(every[i], every[j]) <= most:
                 up[top(i)] = top(j)
     return norm, {x: top(i) for i, x in enumerate(every)}
 
@@ -417,15 +416,6 @@ def test_lines(spark):
     assert all(r.norm == "x" for r in got) and sum(r.n_dropped for r in got) > 20
 
 
-def test_line_fingerprints_of_any_length(spark):
-    rng = random.Random(8)
-    for n in (1, 5, 255, 256, 3000):
-        w = words(rng, n).split()
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        want = sum(1 << i for i in range(63) if 2 * sum(x >> i & 1 for x in h) > n)
-        assert spark.createDataFrame([(w,)], "w array<string>").select(lines.simhash(F.col("w"))).first()[0] == want
-
-
 def test_media(spark, rows):
     got = media.document_media(table(spark, rows)).collect()
     assert len(got) == len(rows)
