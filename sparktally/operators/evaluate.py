@@ -37,18 +37,23 @@ def train_test(train: DataFrame, test: DataFrame, atts: list[str], learner: str
     return score_cells(cuboid(test, atts), atts, learner, cuboid(train, atts), **options)
 
 
-def prequential_nb(df: DataFrame, atts: list[str], classes: list[str], sizes: dict[str, int], seq: str = "id", blocks: str | None = None, m: float = 1.0) -> DataFrame:
-    """Every row scored by naive Bayes over the rows before it: (seq, y, pred, error), counts by running windows.
+def prequential_nb(df: DataFrame, atts: list[str], classes: list[str], sizes: dict[str, int], seq: str = "id", block: int = 4096, m: float = 1.0) -> DataFrame:
+    """Every row scored by naive Bayes over the rows before it: (seq, y, pred, error).
 
-    The counts before a row are running sums within each (attribute, value, class), so the
-    work spreads over those keys. ``blocks`` names a column of nondecreasing block numbers;
-    none is needed while one value's rows fit a task.
+    The counts before a row are those of all earlier blocks of ``block`` sequence numbers and
+    a running sum inside its own block. Running sums over whole blocks see one row for each
+    block, attribute and value; no window holds more rows than a block has.
     """
-    before = lambda *keys: Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = {c: F.when(F.col("y") == c, 1).otherwise(0) for c in classes}
     entries = F.array(*(F.struct(F.lit(a).alias("att"), F.col(a).alias("val")) for a in atts), F.struct(F.lit("").alias("att"), F.lit("").alias("val")))
-    long = df.select(seq, "y", F.explode(entries).alias("e")).select(seq, "y", "e.att", "e.val")
-    long = long.select(seq, "y", "att", F.array(*(F.coalesce(F.sum(own[c]).over(before("att", "val")), F.lit(0)).cast("double") for c in classes)).alias("c"))
+    long = df.select(seq, "y", F.floor(F.col(seq) / block).alias("_b"), F.explode(entries).alias("e")).select(seq, "y", "_b", "e.att", "e.val")
+    whole = long.groupBy("_b", "att", "val").agg(*(F.sum(own[c]).alias(f"_n{i}") for i, c in enumerate(classes)))
+    earlier = F.array(*(F.coalesce(F.sum(f"_n{i}").over(before("_b", "att", "val")), F.lit(0)) for i in range(len(classes))))
+    whole = whole.select(F.col("_b").alias("_wb"), F.col("att").alias("_wa"), F.col("val").alias("_wv"), earlier.alias("e"))
+    inside = F.array(*(F.coalesce(F.sum(own[c]).over(before(seq, "_b", "att", "val")), F.lit(0)) for c in classes))
+    long = long.withColumn("i", inside).join(whole, (F.col("_b") == F.col("_wb")) & (F.col("att") == F.col("_wa")) & F.col("val").eqNullSafe(F.col("_wv")))
+    long = long.select(seq, "y", "att", F.zip_with("e", "i", lambda x, y: (x + y).cast("double")).alias("c"))
     rows = long.groupBy(seq, "y").agg(F.map_from_entries(F.collect_list(F.struct("att", "c"))).alias("m"))
     ny = F.col("m")[""]
     total = F.aggregate(ny, F.lit(0.0), lambda a, b: a + b)

@@ -17,7 +17,29 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(portable_hash(F.col(id_col), seed), id_col)
+    """Every row with its ``place`` in a shuffle, from 1."""
+    h = portable_hash(F.col(id_col), seed)
+    return placed(df, [F.floor(h / 1024).alias("_k0")], [h, F.col(id_col)])
+
+
+def placed(df: DataFrame, buckets: list[Column], order: list[Column]) -> DataFrame:
+    """Every row with its ``place`` in ``order``, from 1: the rows of the buckets before its own and its rank within.
+
+    ``buckets`` are columns _k0, _k1, ... that rise with the order; no window spans more than one
+    of them, but for one over their counts.
+    """
+    keys = [f"_k{i}" for i in range(len(buckets))]
+    d = df.select("*", *buckets)
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    d = d.join(sizes, keys)
+    return d.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop(*keys, "_before")
+
+
+def ranges(df: DataFrame, col: str, n: int = 256) -> Column:
+    """The number of the range, of about ``n`` equally full ones, in which ``col`` lies; the cuts are what reaches the driver."""
+    cuts = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 0.5 / n)))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(col)))
 
 
 def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int = 0) -> DataFrame:

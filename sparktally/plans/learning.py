@@ -291,16 +291,23 @@ def snk_scores(spark, d):
     return df.where("id % 3 = 0").join(scored.select(*OA, "y", line.alias("scores")), [*OA, "y"]).select("id", "y", "scores")
 
 
-BV = ", ".join(f"p{e} AS (SELECT i.id, i.y, (SELECT arg_max(c.y, (c.n, -ord(c.y))) FROM (SELECT y, count(*) AS n FROM inst WHERE id % 4 = {e} AND id % 5 <> 0 GROUP BY y) c) AS pred FROM inst i WHERE i.id % 5 = 0)" for e in range(4))
+def _bv_sql(e: int) -> str:
+    parts = with_inst(ORDERS, f"trn AS (SELECT * FROM inst WHERE id % 4 = {e} AND id % 5 <> 0)", "tst AS (SELECT * FROM inst WHERE id % 5 = 0)", TT)
+    top = f"SELECT {KEY}, y, arg_max(class, (round(p, 9), -ord(class))) AS pred FROM post GROUP BY {KEY}, y"
+    return f"SELECT i.id, i.y, t.pred FROM ({parts} SELECT i.id, i.y, t.pred FROM tst i JOIN ({top}) t ON t.y = i.y AND {' AND '.join(f't.{a} = i.{a}' for a in OA)}) i, (SELECT 1) z"
 
 
-@query("agg_bias_variance", with_inst(ORDERS, BV, "al AS (" + " UNION ALL ".join(f"SELECT * FROM p{e}" for e in range(4)) + ")", "pr AS (SELECT id, y, pred, count(*) * 1.0 / 4 AS s FROM al GROUP BY ALL)") + " SELECT round(avg(l), 6) AS loss, round(avg(v), 6) AS variance, round(avg(l) - avg(v), 6) AS bias FROM (SELECT id, (1 - sum(s * s)) / 2 AS v, sum(CASE WHEN pred <> y THEN s ELSE 0 END) AS l FROM pr GROUP BY id)")
+BV = [_bv_sql(e).replace("i.y, t.pred FROM (", "i.y, i.pred FROM (", 1) for e in range(4)]
+
+
+@query("agg_bias_variance", "WITH pr AS (SELECT id, y, pred, count(*) * 1.0 / 4 AS s FROM (" + " UNION ALL ".join(BV) + ") GROUP BY ALL) SELECT round(avg(l), 6) AS loss, round(avg(v), 6) AS variance, round(avg(l) - avg(v), 6) AS bias FROM (SELECT id, (1 - sum(s * s)) / 2 AS v, sum(CASE WHEN pred <> y THEN s ELSE 0 END) AS l FROM pr GROUP BY id)")
 def agg_bias_variance(spark, d):
+    """Naive Bayes of four training sets over the same test rows."""
     df = B.orders_problem(spark, d)
-    test, parts = df.where("id % 5 = 0").select("id", "y"), None
+    test, parts = df.where("id % 5 = 0"), None
     for e in range(4):
-        top = df.where((F.col("id") % 4 == e) & (F.col("id") % 5 != 0)).groupBy("y").agg(F.count("*").alias("n")).agg(F.max_by("y", F.struct("n", -F.ascii("y"))).alias("pred"))
-        one = test.crossJoin(F.broadcast(top))
+        scored, _ = E.train_test(df.where((F.col("id") % 4 == e) & (F.col("id") % 5 != 0)), test, OA, "nb")
+        one = test.select("id", "y", *OA).join(scored.select(*OA, "y", "pred"), [*OA, "y"]).select("id", "y", "pred")
         parts = one if parts is None else parts.union(one)
     return E.bias_variance(parts).select(*(F.round(c, 6).alias(c) for c in ("loss", "variance", "bias")))
 

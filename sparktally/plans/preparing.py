@@ -209,10 +209,9 @@ def smp_holdout(spark, d):
     return df.join(S.hash_sample(df, "id", 300, 3).select("id"), "id", "left_anti").select("id")
 
 
-@query("smp_shuffle", with_inst(ORDERS) + f" SELECT id, CAST(row_number() OVER (ORDER BY {H.format(s=5)}, id) AS INT) AS place FROM inst ORDER BY place LIMIT 100")
+@query("smp_shuffle", with_inst(ORDERS) + f" SELECT id, row_number() OVER (ORDER BY {H.format(s=5)}, id) AS place FROM inst")
 def smp_shuffle(spark, d):
-    top = S.shuffled(B.orders_problem(spark, d), "id", 5).limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy(S.portable_hash(F.col("id"), 5), "id")).alias("place"))
+    return S.shuffled(B.orders_problem(spark, d), "id", 5).select("id", "place")
 
 
 @query("smp_weighted", with_inst(ORDERS) + " SELECT id FROM inst WHERE price > 0 ORDER BY round(ln(((id * 7919) % 1000003 + 1) / 1000004.0::DOUBLE) / price, 12) DESC, id LIMIT 200")
@@ -246,15 +245,18 @@ def smp_rng(spark, d):
     return t.agg(F.count_if((F.col("u") >= 0) & (F.col("u") < 1) & F.col("g").isNotNull()).alias("n"))
 
 
-@query("srt_num", "SELECT o_orderkey AS id, o_totalprice AS price, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS INT) AS place FROM orders ORDER BY place LIMIT 50")
+@query("srt_num", "SELECT o_orderkey AS id, o_totalprice AS price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
 def srt_num(spark, d):
-    top = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")).orderBy("price", "id").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("price", "id")))
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return S.placed(o, [S.ranges(o, "price").alias("_k0")], [F.col("price"), F.col("id")])
 
 
-@query("srt_indirect", "SELECT o_orderkey AS id FROM orders ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey LIMIT 50")
+@query("srt_indirect", "SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS place FROM orders")
 def srt_indirect(spark, d):
-    return B.table(spark, d, "orders").orderBy(F.desc("o_orderpriority"), "o_totalprice", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("id"))
+    o = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_totalprice")
+    # the priorities are named "1-..." to "5-...", the last comes first
+    first = -F.ascii("o_orderpriority")
+    return S.placed(o, [first.alias("_k0"), S.ranges(o, "o_totalprice").alias("_k1")], [F.col("o_totalprice"), F.col("id")]).select("id", "place")
 
 
 @query("argmax", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS worst FROM orders GROUP BY o_custkey")
