@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,23 +45,30 @@ def _delete(spark: SparkSession, path: str) -> None:
     _SCRATCH.discard(path)
 
 
+def tables() -> set[str]:
+    """Paths of the tables that operators have written and not deleted."""
+    return set(_SCRATCH)
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
+def is_in(file: str, paths: set[str]) -> bool:
+    """Whether a file lies in one of the tables."""
+    return any(_plain(file).startswith(_plain(p) + "/") for p in paths)
+
+
+def delete_tables(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths & _SCRATCH:
+        _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more; the caller has written all that came from them."""
     for df in tables:
-        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
-        for path in [p for p in _SCRATCH if any(f.endswith(p.removeprefix("file://").removeprefix("file:")) for f in folders)]:
-            _delete(df.sparkSession, path)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end, well or not, the tables written inside: for a caller that has written its own result by then."""
-    before = set(_SCRATCH)
-    try:
-        yield
-    finally:
-        for path in _SCRATCH - before:
-            _delete(spark, path)
+        files = df.inputFiles()
+        delete_tables(df.sparkSession, {p for p in _SCRATCH if any(is_in(f, {p}) for f in files)})
 
 
 def release_memory() -> None:

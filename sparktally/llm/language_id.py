@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,10 @@ EM_ROUNDS = 2
 UNKNOWN = 1e-7
 #: Longer words are cut into stretches of so many characters, so that products stay in range.
 STRETCH = 32
-WORDS = re.compile(r"[^\W\d_]+")
+#: A word: letters and combining marks, a letter among them; the same for fitting and scoring.
+WORD = r"\p{M}*\p{L}[\p{L}\p{M}]*"
+WORDS = regex.compile(WORD)
+ASCII_WORDS = re.compile(r"[A-Za-z]+")
 #: Words scored at a time.
 BLOCK = 20_000
 CACHE = 120_000
@@ -165,7 +169,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)), np.zeros(0))
     limits = F.create_map(*(F.lit(x) for k in languages for x in (k, int((1 << 20) * min(1.0, per_language / counts[k])))))
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1)).alias("word")
     words = materialise(d.where(F.col("h") < limits[F.col("lang")]).select("lang", word).groupBy("lang", "word").agg(F.count("*").alias("n")), "langwords")
 
     k, none = len(languages), len(pieces)
@@ -218,7 +222,7 @@ class Scorer:
             self.number, self.table = {}, self.table[:0]
         number, new, rows, ids, sizes = self.number, [], [], [], []
         for r, text in enumerate(texts):
-            found = WORDS.findall(text.lower()) if text else ()
+            found = (ASCII_WORDS if text.isascii() else WORDS).findall(text.lower()) if text else ()
             if not found:
                 continue
             for w in found:
@@ -248,7 +252,12 @@ STEP = 500
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its posterior probability; ``und`` and 0 for texts that are null or have no letter."""
+    """``docs`` with the predicted language and its posterior probability; ``und`` and 0 for texts that are null or have no letter.
+
+    Numerals and letters of number forms are no letters. Texts of any length are scored whole; of
+    equally likely languages the first by name is told. Repeated rows fare alike, an empty table comes
+    back empty, and a model of no language tells ``und``. Columns of ``docs`` named as the added ones give way.
+    """
 
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

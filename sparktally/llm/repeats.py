@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side
+from .common import BROADCAST_ROWS, discard, materialise, small_side
 
 WINDOW = 400
 GRAM = 100
@@ -110,16 +110,19 @@ def _rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(settled, open) of rows(core, hull, rid, at, x1, x2): repeated hulls; undecided rows with their witnesses.
 
-    Counts are combined before each shuffle; joins go by core, whose hot values Spark may split.
+    Counts are combined before each shuffle. What is joined by core was written before, so that
+    Spark may split a hot core's rows, or broadcast the other side where its count allows it.
     """
-    often = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    alive = materialise(rows.join(often, "core", "left_semi"), name)
+    often = materialise(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), name + "-cores")
+    alive = materialise(rows.join(small_side(often), "core", "left_semi"), name)
+    discard(rows, often)
     hulls = alive.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(F.struct("rid", "x1")).alias("one"))
-    mixed = hulls.groupBy("core").agg(F.max(F.col("n") == 1).alias("mixed"))
-    hulls = materialise(hulls.join(mixed, "core"), name + "-hulls")
-    told = alive.join(hulls, ["core", "hull"])
+    hulls = materialise(hulls, name + "-hulls")
+    mixed = materialise(hulls.groupBy("core").agg(F.max(F.col("n") == 1).alias("mixed")), name + "-mixed")
+    told = alive.join(hulls.join(small_side(mixed), "core"), ["core", "hull"])
     go = F.col("mixed") & ((F.col("n") == 1) | (F.col("one") == F.struct("rid", "x1")))
     told = materialise(told.where((F.col("n") > 1) | go).select("rid", "at", "x1", "x2", (F.col("n") > 1).alias("settled"), go.alias("open")), name + "-told")
+    discard(alive, hulls, mixed)
     return told.where("settled"), told.where("open")
 
 
@@ -129,7 +132,7 @@ def _lists(rows: DataFrame) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and what is left as text (without characters that were cut).
 
     Bytes covered by a ``window``-byte string that also starts anywhere else are removed,
     judged on the input. Null and empty texts, and texts shorter than the window, lose
@@ -193,29 +196,27 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = rows3.groupBy("core", "hull").agg(F.count("*").alias("n")).where("n > 1").select("core", "hull")
     settled3 = rows3.join(again, ["core", "hull"], "left_semi")
     spans = settled1.select("rid", "x1", "x2").union(settled2.select("rid", "x1", "x2")).union(settled3.select("rid", "x1", "x2"))
-    spans = spans.groupBy("rid").agg(F.collect_list(F.struct("x1", "x2")).alias("spans"))
+    spans = materialise(spans.groupBy("rid").agg(F.collect_set(F.struct("x1", "x2")).alias("spans")), "spans")
+    discard(settled1, settled2, rows3, texts)
+    size = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for rid, doc_id, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                data, runs = text.as_py().encode(), []
-                for s in sorted((s["x1"], s["x2"] + window) for s in spans.as_py()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
-                digest, at = hashlib.sha256(), 0
-                for s, e in runs:
-                    digest.update(data[at:s])
-                    at = e
-                digest.update(data[at:])
-                out.append((rid, doc_id, sum(e - s for s, e in runs), len(runs), digest.hexdigest()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["rid", "_id", "n_removed", "n_spans", "kept_sha256"])
-
-    done = texts.join(spans, "rid").select("rid", "doc_id", "text", "spans").mapInArrow(cut, "rid long, _id long, n_removed long, n_spans long, kept_sha256 string")
-    done = materialise(done.dropDuplicates(["rid", "_id"]).withColumnRenamed("rid", "_rid"), "cut")
-    base = src.select("doc_id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    out = base.join(done, (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b, out = whole.slice(at, 500), []
+                for doc_id, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                    text, runs = text.as_py(), []
+                    data = text.encode()
+                    for s in sorted((s["x1"], s["x2"] + window) for s in spans.as_py() or ()):
+                        if runs and s[0] <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], s[1])
+                        else:
+                            runs.append(list(s))
+                    kept = b"".join(data[s:e] for s, e in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(data)])) if runs else data
+                    out.append((doc_id, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if runs else text))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    d = src.join(F.broadcast(spans) if size <= BROADCAST_ROWS else spans, "rid", "left")
+    return d.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
