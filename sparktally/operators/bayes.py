@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 from math import log
 
@@ -57,6 +58,38 @@ class Lookup:
         return rows.withColumn(name, F.transform(out, lambda x: x.cast("double"))).drop("_t", "_o")
 
 
+    def add_all(self, rows: DataFrame, subsets: list[list[str]], atts: list[str], name: str) -> DataFrame:
+        """``rows`` with ``name``: the counts per class of each subset of attributes, as an array of arrays in the subsets' order.
+
+        One long table of counts for all subsets and one join, however many there are.
+        """
+        zeros = F.array(*(F.lit(0).cast("long") for _ in self.classes))
+        fold = [self.fold] if self.fold else []
+
+        def entries(df: DataFrame, extra: list[str]) -> DataFrame:
+            # an unknown value has no counts, so such a tuple is null and finds none
+            values = lambda keys: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True)), F.array(*(F.col(k).cast("string") for k in keys)).cast("array<string>"))
+            each = F.posexplode(F.array(*(values(keys) for keys in subsets)))
+            return df.select(*extra, each.alias("_s", "_v"))
+
+        def counted(by: list[str]) -> DataFrame:
+            own = entries(self.cells, [*by, "y", "n"]).where(F.col("_v").isNotNull()).groupBy(*by, "_s", "_v")
+            sums = own.agg(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"_n{i}") for i, c in enumerate(self.classes)))
+            return sums.select(*by, "_s", "_v", F.array(*(f"_n{i}" for i in range(len(self.classes)))).alias("_o" if by else "_t"))
+
+        tuples = rows.select(*fold, *atts).distinct()
+        found = entries(tuples, [*fold, *atts]).join(counted([]), ["_s", "_v"], "left")
+        out = F.coalesce("_t", zeros)
+        if fold:
+            found = found.join(counted(fold), [*fold, "_s", "_v"], "left")
+            out = F.zip_with(out, F.coalesce("_o", zeros), lambda t, o: t - o)
+        found = found.select(*fold, *atts, "_s", F.transform(out, lambda x: x.cast("double")).alias("_c"))
+        found = found.groupBy(*fold, *atts).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c"))), lambda x: x["_c"]).alias(name))
+        found = found.select(name, *(F.col(c).alias(f"_k_{c}") for c in [*fold, *atts]))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*fold, *atts]])
+        return rows.join(found, same).drop(*(f"_k_{c}" for c in [*fold, *atts]))
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
@@ -211,18 +244,18 @@ class AnDE:
         classes, nc = lookup.classes, len(lookup.classes)
         place = {a: i for i, a in enumerate(self.atts)}
         key = lambda s: sorted(s, key=place.get)
-        name = lambda s: "_c_" + "_".join(key(s))
         parents = [frozenset(s) for s in combinations([a for a in self.atts if self.selected is None or a in self.selected], self.n)]
         kids = [a for a in self.atts if self.children is None or a in self.children]
         rows = lookup.add(rows, [], "_ny")
         need = {p for p in parents} | {p | {c} for p in parents for c in kids}
         if self.subsume:
             need |= {frozenset((a, b)) for a, b in combinations(self.atts, 2)} | {frozenset((a,)) for a in self.atts}
-        for s in sorted(need, key=lambda s: (len(s), key(s))):
-            rows = lookup.add(rows, key(s), name(s))
+        order = sorted(need, key=lambda s: (len(s), key(s)))
+        rows = lookup.add_all(rows, [key(s) for s in order], self.atts, "_all")
+        counts = {s: F.get(F.col("_all"), F.lit(i)) for i, s in enumerate(order)}
         dropped = {}
         if self.subsume:
-            total = lambda s: array_sum(F.col(name(s)))
+            total = lambda s: array_sum(counts[frozenset(s)])
             for a in self.atts:
                 # a is implied by b; of two that imply each other the earlier stays
                 tests = [
@@ -238,13 +271,13 @@ class AnDE:
             k = 1.0
             for a in p:
                 k *= sizes[a]
-            own = F.col(name(p))
+            own = counts[p]
             w = 1.0 if self.weights is None else self.weights[p]
             lp = log_prior(own, array_sum(F.col("_ny")), nc * k, self.m, log(w) if w > 0 else 0.0)
             for c in kids:
                 if c in p:
                     continue
-                f = log_factor(name(p | {c}), name(p), sizes[c], self.m)
+                f = log_factor(counts[p | {c}], own, sizes[c], self.m)
                 if c in dropped:
                     f = F.when(dropped[c], zeros).otherwise(f)
                 lp = F.zip_with(lp, f, lambda x, y: x + y)
@@ -259,7 +292,7 @@ class AnDE:
         summed = F.aggregate(every, zeros, lambda acc, v: F.zip_with(acc, v, lambda s, x: s + F.exp(x - top)))
         whole = F.nullif(F.aggregate(summed, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
         rows = rows.withColumn(f"_votes{self.n}", F.size(every)).withColumn(f"_p{self.n}", F.transform(summed, lambda x: x / whole))
-        rows = rows.drop(*(f"_v{i}" for i in range(len(parents))), *(name(s) for s in need), *(f"_d_{a}" for a in dropped), "_ny")
+        rows = rows.drop(*(f"_v{i}" for i in range(len(parents))), "_all", *(f"_d_{a}" for a in dropped), "_ny")
         lower = AnDE(self.atts, self.n - 1, self.m) if self.n > 1 else naive_bayes(self.atts, self.m)
         rows = lower.score(rows, lookup, sizes)
         return rows.withColumn("p", F.when(F.col(f"_votes{self.n}") > 0, F.col(f"_p{self.n}")).otherwise(F.col("p"))).drop(f"_votes{self.n}", f"_p{self.n}")
