@@ -166,6 +166,23 @@ def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
     return refs.join(store, "digest", "left")
 
 
+def sequences(items: DataFrame, store: DataFrame) -> DataFrame:
+    """(doc_id, items): every sequence of ``items(doc_id, items)`` whole and in order, each medium with what its digest leads to.
+
+    ``found`` holds the columns of ``store`` beside its digest; it is null for text and where
+    nothing is stored. Only references are joined, texts stay where they are; ids may be null
+    or repeated, sequences empty, and an empty table comes back empty.
+    """
+    rows = materialise(items.select(F.monotonically_increasing_id().alias("row"), "doc_id", "items"), "sequences")
+    refs = rows.select("row", F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("m"))
+    refs = refs.select("row", F.col("m.position").alias("position"), F.regexp_extract("m.ref", f"^{SCHEME}([0-9a-f]{{64}})$", 1).alias("digest"))
+    found = F.struct(*(c for c in store.columns if c != "digest"))
+    per_row = refs.join(store.select("digest", found.alias("found")), "digest").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", "found"))).alias("_found"))
+    fields = ("position", "kind", "text", "ref", "caption")
+    filled = F.transform("items", lambda x: F.struct(*(x[f].alias(f) for f in fields), F.try_element_at("_found", x["position"]).alias("found")))
+    return rows.join(per_row, "row", "left").select("doc_id", filled.alias("items"))
+
+
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -175,7 +192,8 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The images are written to a store in the shared folder and read back; the pages are
     parsed and their references resolved against the store. One row per input row; a null
-    text is empty; ids may be null or repeated; rows of equal text share one stored digest.
+    text is empty; ids may be null or repeated; rows of equal text share one stored digest; an
+    empty table comes back empty.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     payload = padded(F.col("text"))
@@ -184,5 +202,6 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     html = F.concat(F.lit("<p>"), escaped(F.coalesce("text", F.lit(""))), F.lit(f'</p><figure><img src="{SCHEME}'), F.sha2(payload, 256), F.lit('"><figcaption>'), n_bytes, F.lit(" bytes</figcaption></figure>"))
     pages = d.select("doc_id", html.alias("html"))
     # only the references go on; the texts of the items end here
-    found = resolve(interleave(pages, "doc_id", "html"), stored_features(store))
+    # written, so that the join's rows of a digest that many texts share may be split
+    found = resolve(interleave(pages, "doc_id", "html"), materialise(stored_features(store), "features"))
     return found.select("doc_id", F.split("caption", " ")[0].cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -120,7 +120,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have fingerprint zero and link like any other. component_id is the
     smallest id of the component; null ids do not count, and it is null where all are.
-    Repeated rows are rows like others; other columns are not read.
+    Repeated rows are rows like others; other columns are not read; an empty table comes back empty.
     """
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     of = components(prints)

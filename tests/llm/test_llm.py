@@ -441,6 +441,9 @@ def test_interleave(spark):
     store = spark.createDataFrame([("a" * 64, 5)], "digest string, payload_bytes long")
     out = {(r.doc_id, r.position): (r.caption, r.payload_bytes) for r in media.resolve(media.interleave(pages), store).collect()}
     assert out == {(1, 2): ("cap x", 5), (1, 4): ("v", None)}
+    whole = {r.doc_id: r["items"] for r in media.sequences(media.interleave(pages), store).collect()}
+    assert whole[2] == [] and whole[3] == []
+    assert [(x.position, x.kind, x.caption, x.found and x.found.payload_bytes) for x in whole[1]] == [(a, b, d, 5 if a == 2 else None) for a, b, _, d in seq]
 
 
 def brute_components(fps):
