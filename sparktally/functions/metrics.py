@@ -86,8 +86,11 @@ def hand_till(scored: DataFrame, classes: list[str]) -> DataFrame:
 
 # --- rank statistics over (dataset, learner, value)
 
-#: Upper 5 % points of the studentized range over sqrt 2 (k = 2 ... 10) and of chi-square (df = 1 ... 10).
-NEMENYI_Q = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
+#: Upper 5 % and 10 % points of the studentized range over sqrt 2 (k = 2 ... 10) and upper 5 % points of chi-square (df = 1 ... 10).
+RANGE_POINTS = {
+    0.05: {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164},
+    0.10: {2: 1.645, 3: 2.052, 4: 2.291, 5: 2.459, 6: 2.589, 7: 2.693, 8: 2.780, 9: 2.855, 10: 2.920},
+}
 CHI_SQUARE_95 = {1: 3.841, 2: 5.991, 3: 7.815, 4: 9.488, 5: 11.070, 6: 12.592, 7: 14.067, 8: 15.507, 9: 16.919, 10: 18.307}
 
 
@@ -121,16 +124,16 @@ def friedman(ranked: DataFrame) -> DataFrame:
     return t.withColumn("significant", F.col("chi2") > F.col("critical"))
 
 
-def critical_difference(ranked: DataFrame) -> DataFrame:
-    """One row: n, k and the Nemenyi critical difference (null beyond ten learners)."""
-    q = F.create_map(*(F.lit(x) for k, v in NEMENYI_Q.items() for x in (k, v)))
+def critical_difference(ranked: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row: n, k and the Nemenyi critical difference at level 0.05 or 0.10 (null beyond ten learners)."""
+    q = F.create_map(*(F.lit(x) for k, v in RANGE_POINTS[level].items() for x in (k, v)))
     t = ranked.agg(F.count_distinct("learner").alias("k"), F.count_distinct("dataset").alias("n"))
     return t.select("n", "k", (F.try_element_at(q, F.col("k").cast("int")) * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n")))).alias("cd"))
 
 
-def cd_groups(ranked: DataFrame) -> DataFrame:
+def cd_groups(ranked: DataFrame, level: float = 0.05) -> DataFrame:
     """(group, learner, avg_rank): runs of learners whose neighbours in rank are within the critical difference; two or more."""
-    cd = critical_difference(ranked).select("cd")
+    cd = critical_difference(ranked, level).select("cd")
     w = Window.orderBy("avg_rank", "learner")
     t = mean_ranks(ranked).crossJoin(F.broadcast(cd)).withColumn("gap", F.col("avg_rank") - F.lag("avg_rank").over(w))
     t = t.withColumn("group", F.sum(F.when(F.col("gap") > F.col("cd"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -78,9 +78,10 @@ def _loo_rows(cells: DataFrame, atts: list[str]):
     rows = lookup.add(cells, [], "_ny").withColumn("_ny", F.zip_with("_ny", own, lambda n, o: n - o))
     place = {a: i for i, a in enumerate(atts)}
     name = lambda *s: "_c_" + "_".join(sorted(s, key=place.get))
-    for i, a in enumerate(atts):
-        for s in [(a,)] + [(a, b) for b in atts[i + 1 :]]:
-            rows = lookup.add(rows, list(s), name(*s)).withColumn(name(*s), F.zip_with(name(*s), own, lambda n, o: F.greatest(n - o, F.lit(0.0))))
+    subsets = [s for i, a in enumerate(atts) for s in [(a,)] + [(a, b) for b in atts[i + 1 :]]]
+    rows = lookup.add_all(rows, [list(s) for s in subsets], atts, "_all")
+    without = (F.zip_with(F.get(F.col("_all"), F.lit(i)), own, lambda n, o: F.greatest(n - o, F.lit(0.0))).alias(name(*s)) for i, s in enumerate(subsets))
+    rows = rows.select("*", *without).drop("_all")
     return rows, classes, sizes, name
 
 

@@ -196,6 +196,11 @@ def agg_nemenyi_cd(spark, d):
     return X.critical_difference(ranked(spark, d)).withColumn("cd", F.round("cd", 6))
 
 
+@query("agg_nemenyi_cd_10", f"WITH {CD.replace('2.728', '2.459')} SELECT n, k, round(cd, 6) AS cd FROM s, cd")
+def agg_nemenyi_cd_10(spark, d):
+    return X.critical_difference(ranked(spark, d), 0.10).withColumn("cd", F.round("cd", 6))
+
+
 @query("agg_cd_groups", f"WITH {CD}, g AS (SELECT *, avg_rank - lag(avg_rank) OVER (ORDER BY avg_rank, learner) AS gap FROM a), h AS (SELECT g.*, sum(CASE WHEN gap > cd THEN 1 ELSE 0 END) OVER (ORDER BY avg_rank, learner) AS grp FROM g, cd) SELECT CAST(grp AS BIGINT) AS \"group\", learner, round(avg_rank, 6) AS avg_rank FROM h WHERE grp IN (SELECT grp FROM h GROUP BY grp HAVING count(*) > 1)")
 def agg_cd_groups(spark, d):
     return X.cd_groups(ranked(spark, d)).withColumn("avg_rank", F.round("avg_rank", 6))

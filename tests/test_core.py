@@ -310,11 +310,12 @@ def test_states_and_plans():
     assert p == {"datasets": ["iris"], "learners": ["aode"], "metric": "0-1_loss", "mode": "curves", "folds": 2}
 
 
-def test_prequential_against_a_loop(spark):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_prequential_against_a_loop(spark, block):
     rng = random.Random(4)
     rows = [(i, rng.choice("pq"), rng.choice("uvw"), rng.choice("xy")) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, y string, a string, b string")
-    got = {r.id: r.pred for r in E.prequential_nb(df, ["a", "b"], ["p", "q"], {"a": 3, "b": 2}).collect()}
+    got = {r.id: r.pred for r in E.prequential_nb(df, ["a", "b"], ["p", "q"], {"a": 3, "b": 2}, block=block).collect()}
     for i, _, a, b in rows:
         past, best = rows[:i], []
         for y in "pq":
@@ -326,6 +327,46 @@ def test_prequential_against_a_loop(spark):
         assert got[i] == "pq"[best[1] > best[0] * (1 + 1e-8)]
 
 
+def test_places_of_a_sort(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1.0, 2.0, rng.random() * 9])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, price double").repartition(5)
+    want = {i: k + 1 for k, (_, i) in enumerate(sorted((p, i) for i, p in rows))}
+    assert {r.id: r.place for r in P.placed(df, [P.ranges(df, "price", 16).alias("_k0")], [F.col("price"), F.col("id")]).collect()} == want
+    got = sorted((r.place, r.id) for r in P.shuffled(df, "id", 5).collect())
+    assert [i for _, i in got] == sorted(range(400), key=lambda i: ((i * 7919 + 104729 * 5) % 1000003, i)) and [k for k, _ in got] == list(range(1, 401))
+
+
+def test_aode_of_many_attributes(spark):
+    """Against a loop over all parents and children, null values included."""
+    rng = random.Random(3)
+    atts = [f"x{i}" for i in range(12)]
+    rows = [(rng.choice("pq"), *(rng.choice(["u", "v", None]) if i == 3 else rng.choice("uv") for i in range(12))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "y string, " + ", ".join(f"{a} string" for a in atts))
+    cells = C.cuboid(df, atts)
+    classes, sizes = C.labels(cells), dict.fromkeys(atts, 2)
+    got = {tuple(r[a] for a in atts): r.p for r in N.AnDE(atts, 1).score(cells, N.Lookup(cells, classes), sizes).collect()}
+
+    def count(y, **want):
+        return sum(r[0] == y and all(v is not None and r[1 + atts.index(a)] == v for a, v in want.items()) for r in rows)
+
+    for values, p in list(got.items())[:15]:
+        v = dict(zip(atts, values))
+        votes = {y: 0.0 for y in classes}
+        for a in atts:
+            if sum(count(y, **{a: v[a]}) for y in classes) < 1:
+                continue
+            for y in classes:
+                own = count(y, **{a: v[a]})
+                s = (own + 1 / 4) / (len(rows) + 1)
+                for c in atts:
+                    if c != a:
+                        s *= (count(y, **{a: v[a], c: v[c]}) + 1 / 2) / (own + 1)
+                votes[y] += s
+        total = sum(votes.values())
+        assert p == pytest.approx([votes[y] / total for y in classes], abs=1e-9)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rng = random.Random(6)
     rows = [(str(i % 2), i, rng.random()) for i in range(200)]
