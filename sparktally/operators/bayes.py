@@ -25,7 +25,7 @@ def m_estimate(n: Column, total: Column, k: Column | float, m: float = 1.0) -> C
     return (n + m / k) / (total + m)
 
 
-def log_factor(n: str, total: str, k: float, m: float) -> Column:
+def log_factor(n: str | Column, total: str | Column, k: float, m: float) -> Column:
     """Log m-estimates of an array of counts over an array of totals."""
     return F.zip_with(n, total, lambda a, b: F.log(m_estimate(a, b, F.lit(float(k)), m)))
 
@@ -39,15 +39,17 @@ class Lookup:
     """Training counts of attribute tuples, looked up for rows to score.
 
     With ``fold_col`` the rows to score carry a fold and the counts are those of all other
-    folds: total minus own fold, so cross-validation counts once and never rescans.
+    folds: total minus own fold, so cross-validation counts once and never rescans. With
+    ``within`` both sides carry a group, such as a bag, and only the row's own group counts.
     """
 
-    def __init__(self, cells: DataFrame, classes: list[str], fold_col: str | None = None) -> None:
+    def __init__(self, cells: DataFrame, classes: list[str], fold_col: str | None = None, within: str | None = None) -> None:
         self.cells, self.classes, self.fold = cells, classes, fold_col
+        self.scope = [within] if within else []
 
     def add(self, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         """``rows`` with ``name``: counts per class as array<double>, zeros where nothing was seen."""
-        zeros = F.array(*(F.lit(0).cast("long") for _ in self.classes))
+        zeros, keys = F.array(*(F.lit(0).cast("long") for _ in self.classes)), [*self.scope, *keys]
         total = class_counts(self.cells, keys, self.classes, "_t")
         rows = rows.join(total, keys, "left") if keys else rows.crossJoin(F.broadcast(total))
         out = F.coalesce("_t", zeros)
@@ -57,7 +59,6 @@ class Lookup:
             out = F.zip_with(out, F.coalesce("_o", zeros), lambda t, o: t - o)
         return rows.withColumn(name, F.transform(out, lambda x: x.cast("double"))).drop("_t", "_o")
 
-
     def add_all(self, rows: DataFrame, subsets: list[list[str]], atts: list[str], name: str) -> DataFrame:
         """``rows`` with ``name``: the counts per class of each subset of attributes, as an array of arrays in the subsets' order.
 
@@ -65,6 +66,7 @@ class Lookup:
         """
         zeros = F.array(*(F.lit(0).cast("long") for _ in self.classes))
         fold = [self.fold] if self.fold else []
+        own_keys = [*self.scope, *fold]
 
         def entries(df: DataFrame, extra: list[str]) -> DataFrame:
             # an unknown value has no counts, so such a tuple is null and finds none
@@ -72,22 +74,22 @@ class Lookup:
             each = F.posexplode(F.array(*(values(keys) for keys in subsets)))
             return df.select(*extra, each.alias("_s", "_v"))
 
-        def counted(by: list[str]) -> DataFrame:
+        def counted(by: list[str], name: str) -> DataFrame:
             own = entries(self.cells, [*by, "y", "n"]).where(F.col("_v").isNotNull()).groupBy(*by, "_s", "_v")
             sums = own.agg(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"_n{i}") for i, c in enumerate(self.classes)))
-            return sums.select(*by, "_s", "_v", F.array(*(f"_n{i}" for i in range(len(self.classes)))).alias("_o" if by else "_t"))
+            return sums.select(*by, "_s", "_v", F.array(*(f"_n{i}" for i in range(len(self.classes)))).alias(name))
 
-        tuples = rows.select(*fold, *atts).distinct()
-        found = entries(tuples, [*fold, *atts]).join(counted([]), ["_s", "_v"], "left")
+        tuples = rows.select(*own_keys, *atts).distinct()
+        found = entries(tuples, [*own_keys, *atts]).join(counted(self.scope, "_t"), [*self.scope, "_s", "_v"], "left")
         out = F.coalesce("_t", zeros)
         if fold:
-            found = found.join(counted(fold), [*fold, "_s", "_v"], "left")
+            found = found.join(counted(own_keys, "_o"), [*own_keys, "_s", "_v"], "left")
             out = F.zip_with(out, F.coalesce("_o", zeros), lambda t, o: t - o)
-        found = found.select(*fold, *atts, "_s", F.transform(out, lambda x: x.cast("double")).alias("_c"))
-        found = found.groupBy(*fold, *atts).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c"))), lambda x: x["_c"]).alias(name))
-        found = found.select(name, *(F.col(c).alias(f"_k_{c}") for c in [*fold, *atts]))
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*fold, *atts]])
-        return rows.join(found, same).drop(*(f"_k_{c}" for c in [*fold, *atts]))
+        found = found.select(*own_keys, *atts, "_s", F.transform(out, lambda x: x.cast("double")).alias("_c"))
+        found = found.groupBy(*own_keys, *atts).agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_c"))), lambda x: x["_c"]).alias(name))
+        found = found.select(name, *(F.col(c).alias(f"_k_{c}") for c in [*own_keys, *atts]))
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*own_keys, *atts]])
+        return rows.join(found, same).drop(*(f"_k_{c}" for c in [*own_keys, *atts]))
 
 
 def array_sum(a: Column) -> Column:
@@ -104,26 +106,47 @@ def softmax(logs: Column) -> Column:
 
 @dataclass
 class Network:
-    """parents[a]: the attributes that condition ``a`` next to the class; naive Bayes has none."""
+    """parents[a]: the attributes that condition ``a`` next to the class, closest first; naive Bayes has none.
+
+    A tuple of parent values that was not seen leaves 1 / |a|. With ``backoff`` the last
+    parents are left out instead, until at least so many rows have the values of the rest.
+    """
 
     atts: list[str]
     parents: dict[str, list[str]] = field(default_factory=dict)
     m: float = 1.0
+    backoff: int | None = None
+
+    def prefixes(self, a: str) -> list[list[str]]:
+        """The parents that may condition ``a``, most first: one list, or with back-off each shorter one as well."""
+        ps = self.parents.get(a, [])
+        return [ps[:d] for d in range(len(ps), -1 if self.backoff else len(ps) - 1, -1)]
+
+    def subsets(self, atts: list[str]) -> list[list[str]]:
+        """The attribute tuples whose counts the factors of ``atts`` need: one path of a prefix trie for each attribute."""
+        need = [s for a in atts for ps in self.prefixes(a) for s in ([a, *ps], ps) if s]
+        return [list(s) for s in dict.fromkeys(map(tuple, need))]
+
+    def factor(self, a: str, counts: Callable[[list[str]], Column], size: int) -> Column:
+        """Logs of P(a | parents, y) per class; ``counts`` gives the looked-up array of a tuple, that of the classes for none."""
+        out = None
+        for ps in reversed(self.prefixes(a)):
+            f = log_factor(counts([a, *ps]), counts(ps), size, self.m)
+            out = f if out is None else F.when(array_sum(counts(ps)) >= self.backoff, f).otherwise(out)
+        return out
 
     def score(self, rows: DataFrame, lookup: Lookup, sizes: dict[str, int], order: list[str] | None = None) -> DataFrame:
-        """``rows`` with ``p``: the posterior per class. An unseen parent tuple leaves 1 / |a|."""
-        nc = len(lookup.classes)
-        rows = lookup.add(rows, [], "_ny")
-        prior = F.transform(F.col("_ny"), lambda n: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(float(nc)), self.m)))
-        rows = rows.withColumn("_lp", prior)
-        for a in self.atts if order is None else order:
-            ps = self.parents.get(a, [])
-            rows = lookup.add(rows, [a, *ps], "_n")
-            if ps:
-                rows = lookup.add(rows, list(ps), "_np")
-            rows = rows.withColumn("_f", log_factor("_n", "_np" if ps else "_ny", sizes[a], self.m))
-            rows = rows.withColumn("_lp", F.zip_with("_lp", "_f", lambda x, y: x + y)).drop("_n", "_np", "_f")
-        return rows.withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny")
+        """``rows`` with ``p``: the posterior per class. All counts come by one join, however many attributes and parents there are."""
+        nc, atts = len(lookup.classes), self.atts if order is None else order
+        rows, need = lookup.add(rows, [], "_ny"), self.subsets(atts)
+        if need:
+            rows = lookup.add_all(rows, need, [a for a in self.atts if any(a in s for s in need)], "_all")
+        at = {tuple(s): i for i, s in enumerate(need)}
+        counts = lambda s: F.get(F.col("_all"), F.lit(at[tuple(s)])) if s else F.col("_ny")
+        lp = F.transform(F.col("_ny"), lambda n: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(float(nc)), self.m)))
+        for a in atts:
+            lp = F.zip_with(lp, self.factor(a, counts, sizes[a]), lambda x, y: x + y)
+        return rows.withColumn("_lp", lp).withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny", *(["_all"] if need else []))
 
 
 def naive_bayes(atts: list[str], m: float = 1.0) -> Network:
@@ -163,12 +186,12 @@ def fit_tan(cells: DataFrame, atts: list[str], m: float = 1.0) -> Network:
     return Network(atts, parents, m)
 
 
-def fit_kdb(cells: DataFrame, atts: list[str], k: int = 1, m: float = 1.0) -> Network:
-    """k-dependence Bayes: the k best by CMI among the attributes that rank before by MI; k = 0 is naive Bayes."""
+def fit_kdb(cells: DataFrame, atts: list[str], k: int = 1, m: float = 1.0, backoff: int | None = None) -> Network:
+    """k-dependence Bayes: the k best by CMI among the attributes that rank before by MI, best first; k = 0 is naive Bayes."""
     order, cmi, parents = mi_order(cells, atts), _cmi_table(cells, atts), {}
     for i, a in enumerate(order):
         parents[a] = sorted(order[:i], key=lambda b: (-cmi[frozenset((a, b))], order.index(b)))[:k]
-    return Network(order, parents, m)
+    return Network(order, parents, m, backoff)
 
 
 def fit_cbn(cells: DataFrame, atts: list[str], dof: int, m: float = 1.0) -> Network:
@@ -195,20 +218,20 @@ def prefix_errors(cells: DataFrame, net: Network, lookup: Lookup, sizes: dict[st
     """
     classes = lookup.classes
     own = F.array(*(F.when(F.col("y") == c, 1.0).otherwise(0.0) for c in classes))
-    less = lambda name: F.zip_with(F.col(name), own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
-    rows = lookup.add(cells, [], "_ny").withColumn("_ny", less("_ny"))
+    less = lambda c: F.zip_with(c, own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
+    rows, need = lookup.add(cells, [], "_ny").withColumn("_ny", less(F.col("_ny"))), net.subsets(order)
+    if need:
+        rows = lookup.add_all(rows, need, [a for a in net.atts if any(a in s for s in need)], "_all")
+        rows = rows.withColumn("_all", F.transform("_all", less))
+    at = {tuple(s): i for i, s in enumerate(need)}
+    counts = lambda s: F.get(F.col("_all"), F.lit(at[tuple(s)])) if s else F.col("_ny")
     lp = F.transform(F.col("_ny"), lambda n: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(float(len(classes))), net.m)))
     rows = rows.withColumn("_lp", lp)
     true = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int")
     err = lambda: F.pow(1 - F.element_at(softmax(F.col("_lp")), true), 2) * F.col("n")
     rows = rows.withColumn("_e0", err())
     for i, a in enumerate(order, 1):
-        ps = net.parents.get(a, [])
-        rows = lookup.add(rows, [a, *ps], "_n").withColumn("_n", less("_n"))
-        if ps:
-            rows = lookup.add(rows, list(ps), "_np").withColumn("_np", less("_np"))
-        f = log_factor("_n", "_np" if ps else "_ny", sizes[a], net.m)
-        rows = rows.withColumn("_f", f).withColumn("_lp", F.zip_with("_lp", "_f", lambda x, y: x + y)).drop("_n", "_np", "_f").withColumn(f"_e{i}", err())
+        rows = rows.withColumn("_lp", F.zip_with("_lp", net.factor(a, counts, sizes[a]), lambda x, y: x + y)).withColumn(f"_e{i}", err())
     sums = rows.agg(F.sum("n").alias("n"), *(F.sum(f"_e{i}").alias(f"_e{i}") for i in range(len(order) + 1)))
     return sums.select("n", F.explode(F.array(*(F.struct(F.lit(i).alias("prefix"), F.col(f"_e{i}").alias("sse")) for i in range(len(order) + 1)))).alias("e")).select("e.prefix", "n", "e.sse")
 
@@ -307,13 +330,16 @@ class A2JE:
 
     def score(self, rows: DataFrame, lookup: Lookup, sizes: dict[str, int]) -> DataFrame:
         nc = float(len(lookup.classes))
-        rows = lookup.add(rows, [], "_ny")
-        rows = rows.withColumn("_lp", F.transform(F.col("_ny"), lambda n: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(nc), self.m))))
-        for a, b in combinations(self.atts, 2):
-            rows = lookup.add(rows, [a, b], "_n")
-            f = F.zip_with("_n", "_ny", lambda n, t: F.log(m_estimate(n, t, F.lit(float(sizes[a] * sizes[b])), self.m)) / (len(self.atts) - 1))
-            rows = rows.withColumn("_lp", F.when(array_sum(F.col("_n")) > 0, F.zip_with("_lp", f, lambda x, y: x + y)).otherwise(F.col("_lp"))).drop("_n")
-        return rows.withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny")
+        rows, pairs = lookup.add(rows, [], "_ny"), [list(p) for p in combinations(self.atts, 2)]
+        lp = F.transform(F.col("_ny"), lambda n: F.log(m_estimate(n, array_sum(F.col("_ny")), F.lit(nc), self.m)))
+        if pairs:
+            rows = lookup.add_all(rows, pairs, self.atts, "_all")
+        for i, (a, b) in enumerate(pairs):
+            n = F.get(F.col("_all"), F.lit(i))
+            f = F.transform(log_factor(n, "_ny", sizes[a] * sizes[b], self.m), lambda x: x / (len(self.atts) - 1))
+            rows = rows.withColumn("_lp", lp).withColumn("_lp", F.when(array_sum(n) > 0, F.zip_with("_lp", f, lambda x, y: x + y)).otherwise(F.col("_lp")))
+            lp = F.col("_lp")
+        return rows.withColumn("_lp", lp).withColumn("p", softmax(F.col("_lp"))).drop("_lp", "_ny", *(["_all"] if pairs else []))
 
 
 def _log_density(x: Column, means: str, sds: str) -> Column:

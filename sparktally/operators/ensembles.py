@@ -1,14 +1,14 @@
-"""Ensembles over the count learners and trees: bagging, boosting, one model per attribute value, stacking, logistic regression."""
+"""Ensembles over the count learners and trees: bagging, boosting, one model per attribute value, stacking."""
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import log
+from math import exp, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bayes import Lookup, array_sum, log_prior, naive_bayes, predicted
+from .bayes import Lookup, array_sum, log_prior, naive_bayes, predicted, softmax
 from .counts import cuboid, domain_sizes, labels
 from .sampling import bootstrap_counts
 from .trees import fit_tree, score_tree
@@ -26,23 +26,13 @@ def bagged_nb(df: DataFrame, atts: list[str], bags: int = 10, id_col: str = "id"
     classes, sizes = labels(cells), domain_sizes(cells, atts)
     # a bag takes the place of a fold: look-ups by (bag, value)
     rows = cells.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    scored = naive_bayes(atts).score(rows, BagLookup(weights, classes), sizes)
+    scored = naive_bayes(atts).score(rows, Lookup(weights, classes, within="bag"), sizes)
     best = predicted(F.col("p"), classes)
     vote = F.col("p") if average else F.transform(F.array(*map(F.lit, classes)), lambda c: F.when(c == best, 1.0).otherwise(0.0))
     sums = [F.sum(vote[i]) / bags for i in range(len(classes))]
     return scored.groupBy(*atts, "y", "n").agg(F.array(*sums).alias("p")), classes
 
 
-class BagLookup(Lookup):
-    """Counts within the row's own bag."""
-
-    def add(self, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        per = F.array(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).cast("double") for c in self.classes))
-        t = self.cells.groupBy("bag", *keys).agg(per.alias(name))
-        zeros = F.array(*(F.lit(0.0) for _ in self.classes))
-        return rows.join(t, ["bag", *keys], "left").withColumn(name, F.coalesce(name, zeros))
-
-
 def bagged_trees(df: DataFrame, cats: list[str], nums: list[str], bags: int = 5, id_col: str = "id", subset: int | None = None, seed: int = 0, **options) -> tuple[DataFrame, list[str]]:
     """Rows with the mean leaf posterior of trees on bootstrap bags; with ``subset`` a random forest."""
     classes = labels(df)
@@ -58,8 +48,6 @@ def bagged_trees(df: DataFrame, cats: list[str], nums: list[str], bags: int = 5,
 
 def adaboost_nb(df: DataFrame, atts: list[str], rounds: int = 10) -> tuple[DataFrame, list[str]]:
     """Boosted naive Bayes over weighted cells: each round multiplies the weights of missed cells by (1 - e) / e; votes are log odds."""
-    from pyspark.sql import Window
-
     cells = cuboid(df, atts)
     classes, sizes = labels(cells), domain_sizes(cells, atts)
     total = cells.agg(F.sum("n")).first()[0] or 1
@@ -67,13 +55,16 @@ def adaboost_nb(df: DataFrame, atts: list[str], rounds: int = 10) -> tuple[DataF
     for _ in range(rounds):
         train = state.select(*atts, "y", F.col("w").alias("n"))
         scored = naive_bayes(atts).score(state, Lookup(train, classes), sizes).withColumn("pred", predicted(F.col("p"), classes)).drop("p").checkpoint()
-        miss = scored.agg(F.sum(F.when(F.col("pred") != F.col("y"), F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
+        missed, weight = scored.agg(F.sum(F.when(F.col("pred") != F.col("y"), F.col("w")).otherwise(0.0)), F.sum("w")).first()
+        miss = missed / weight
         if miss <= 0 or miss >= 1 - 1 / len(classes):
             break
         alpha = log((1 - miss) / miss) + log(len(classes) - 1)
         hit = F.transform(F.array(*map(F.lit, classes)), lambda c: F.when(c == F.col("pred"), F.lit(alpha)).otherwise(0.0))
-        state = scored.withColumn("votes", F.zip_with("votes", hit, lambda a, b: a + b)).withColumn("w", F.col("w") * F.when(F.col("pred") != F.col("y"), F.exp(F.lit(alpha))).otherwise(1.0)).drop("pred")
-        state = state.withColumn("w", F.col("w") * total / F.sum("w").over(Window.partitionBy()))
+        # weights are brought back to their sum: what the hits keep and what the missed grow to
+        scale = total / (weight - missed + missed * exp(alpha))
+        grown = F.col("w") * F.when(F.col("pred") != F.col("y"), F.lit(exp(alpha))).otherwise(1.0) * F.lit(scale)
+        state = scored.withColumn("votes", F.zip_with("votes", hit, lambda a, b: a + b)).withColumn("w", grown).drop("pred")
     s = array_sum(F.col("votes"))
     p = F.when(s > 0, F.transform("votes", lambda v: v / s)).otherwise(F.transform("votes", lambda v: F.lit(1.0 / len(classes))))
     return state.withColumn("p", p).drop("w", "votes"), classes
@@ -83,22 +74,21 @@ def feating(df: DataFrame, atts: list[str], order: int = 1) -> tuple[DataFrame,
     """A naive Bayes model for each value (pair, triple) of attributes, voting by mean posterior: wider group-bys, no loop over values."""
     cells = cuboid(df, atts)
     classes, sizes = labels(cells), domain_sizes(cells, atts)
-    lookup, rows, ps = Lookup(cells, classes), cells, []
-    for i, s in enumerate(combinations(atts, order)):
-        local = list(s)
-        rows = lookup.add(rows, local, "_ny")
-        rows = rows.withColumn("_lp", log_prior(F.col("_ny"), array_sum(F.col("_ny")), len(classes), 1.0))
+    locals_ = [list(s) for s in combinations(atts, order)]
+    need = [list(s) for s in dict.fromkeys(tuple(x) for s in locals_ for x in (s, *([*s, a] for a in atts if a not in s)))]
+    at = {tuple(s): i for i, s in enumerate(need)}
+    rows, ps = Lookup(cells, classes).add_all(cells, need, atts, "_all"), []
+    counts = lambda s: F.get(F.col("_all"), F.lit(at[tuple(s)]))
+    for i, s in enumerate(locals_):
+        ny = counts(s)
+        lp = log_prior(ny, array_sum(ny), len(classes), 1.0)
         for a in atts:
-            if a in s:
-                continue
-            rows = lookup.add(rows, [*local, a], "_n")
-            k = float(sizes[a])
-            rows = rows.withColumn("_f", F.zip_with("_n", "_ny", _nb_factor(k))).withColumn("_lp", F.zip_with("_lp", "_f", lambda x, y: x + y)).drop("_n", "_f")
-        e = F.transform("_lp", lambda x: F.exp(x - F.array_max("_lp")))
-        rows = rows.withColumn("_e", e).withColumn(f"_p{i}", F.transform("_e", lambda x: x / array_sum(F.col("_e")))).drop("_e", "_lp", "_ny")
+            if a not in s:
+                lp = F.zip_with(lp, F.zip_with(counts([*s, a]), ny, _nb_factor(float(sizes[a]))), lambda x, y: x + y)
+        rows = rows.withColumn("_lp", lp).withColumn(f"_p{i}", softmax(F.col("_lp"))).drop("_lp")
         ps.append(F.col(f"_p{i}"))
     mean = F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), lambda j: sum((F.get(v, j) for v in ps[1:]), F.get(ps[0], j)) / len(ps))
-    return rows.withColumn("p", mean).drop(*(f"_p{i}" for i in range(len(ps)))), classes
+    return rows.withColumn("p", mean).drop("_all", *(f"_p{i}" for i in range(len(ps)))), classes
 
 
 def _nb_factor(k: float):
@@ -117,22 +107,3 @@ def stacked(df: DataFrame, atts: list[str], bases: tuple[str, ...] = ("nb", "aod
     meta_atts = [f"by_{b}" for b in bases]
     cells = table.groupBy(*meta_atts, "y").agg(F.sum("n").alias("n"))
     return naive_bayes(meta_atts).score(cells, Lookup(cells, classes), domain_sizes(cells, meta_atts)), classes
-
-
-def logistic(df: DataFrame, cats: list[str], nums: list[str], max_iter: int = 50) -> tuple[DataFrame, list[str]]:
-    """Unregularised multinomial logistic regression on one-hot categories and numbers; rows with ``p``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    index = StringIndexer(inputCols=cats, outputCols=[f"{c}_i" for c in cats], handleInvalid="keep", stringOrderType="alphabetAsc")
-    label = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in cats], outputCols=[f"{c}_v" for c in cats])
-    join = VectorAssembler(inputCols=[*(f"{c}_v" for c in cats), *nums], outputCol="features")
-    lr = LogisticRegression(regParam=0.0, family="multinomial", maxIter=max_iter)
-    model = Pipeline(stages=[index, label, hot, join, lr]).fit(df)
-    keep = df.columns
-    return model.transform(df).select(*keep, vector_to_array("probability").alias("p")), sorted(model.stages[1].labels)
-
-

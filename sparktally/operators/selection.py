@@ -136,28 +136,6 @@ def loo_weights(cells: DataFrame, atts: list[str], m: float = 1.0) -> dict[froze
     return {k: v / total for k, v in out.items()}
 
 
-def fit_backward_elimination(cells: DataFrame, atts: list[str], m: float = 1.0) -> AnDE:
-    """Drops the child or parent whose loss lowers the leave-one-out error most, while any does: one job per try."""
-    parents, children = list(atts), list(atts)
-
-    def error(ps: list[str], cs: list[str]) -> float:
-        order = [a for a in atts if a in ps] + [a for a in atts if a not in ps]
-        model = AnDE(atts, 1, m, selected=ps, children=cs)
-        classes = labels(cells)
-        scored = model.score(cells, Lookup(cells, classes), domain_sizes(cells, atts))
-        true = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int")
-        return round(scored.agg(F.sum(F.pow(1 - F.element_at("p", true), 2) * F.col("n"))).first()[0], 9) if order else float("inf")
-
-    best = error(parents, children)
-    while True:
-        tries = [([x for x in parents if x != a], children) for a in parents if len(parents) > 1] + [(parents, [x for x in children if x != a]) for a in children]
-        scores = [error(*t) for t in tries]
-        if not scores or min(scores) >= best:
-            return AnDE(atts, 1, m, selected=parents, children=children)
-        best = min(scores)
-        parents, children = tries[scores.index(best)]
-
-
 @dataclass
 class GaussianNetwork:
     """kDB whose structure is learnt on discretised numbers and whose numeric factors are normal per parent values and class."""

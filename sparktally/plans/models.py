@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
 from ..operators import ensembles as G
 from ..operators import evaluate as E
+from ..operators import linear as Z
 from ..operators import trees as R
 from ..operators.bayes import Lookup, naive_bayes, predicted
 from ..sources import bindings as B
@@ -152,11 +154,38 @@ def ln_filtered(spark, d):
     return _losses(scored, classes)
 
 
+def _lr_start_sql() -> str:
+    """Gradient at naive Bayes: weights of 1 on the logs of its parameters."""
+    out = [network_sql(OA, {}), "miss AS (SELECT *, n * (p - CASE WHEN class = y THEN 1 ELSE 0 END) AS g FROM post)"]
+    parts = ["SELECT '' AS att, '' AS value, class, sum(g) * max(ln((ny + 1.0::DOUBLE / k) / (nn + 1))) AS g FROM miss JOIN cls USING (class) CROSS JOIN tot GROUP BY class"]
+    for a in OA:
+        parts.append(f"SELECT '{a}', m.{a}, m.class, sum(g) * max(ln((coalesce(f.n, 0) + 1.0::DOUBLE / k_{a}.k) / (ny + 1))) FROM miss m JOIN cls USING (class) CROSS JOIN k_{a} LEFT JOIN f_{a} f ON f.{a} = m.{a} AND f.y = m.class GROUP BY m.{a}, m.class")
+    return with_inst(ORDERS, *out) + " SELECT att, value, class, round(g, 4) AS g FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("ln_lr_gradient", _lr_start_sql())
+def ln_lr_gradient(spark, d):
+    """The first gradient of the scaled regression."""
+    cells = C.cuboid(B.orders_problem(spark, d), OA)
+    classes, domains = C.labels(cells), Z.domains_of(cells, OA)
+    scale = Z.naive_bayes_scale(cells, OA, classes, domains)
+    _, g = Z.loss_and_gradient(Z.code_cells(cells, OA, classes, domains), np.ones_like(scale), scale)
+    names = [("", ""), *((a, v) for a, dom in zip(OA, domains, strict=True) for v in dom)]
+    return spark.createDataFrame([(a, v, c, float(g[i, j])) for i, c in enumerate(classes) for j, (a, v) in enumerate(names)], "att string, value string, class string, g double").withColumn("g", F.round("g", 4))
+
+
 @query("ln_lr")
 def ln_lr(spark, d):
-    scored, classes = G.logistic(_banded(spark, d), ["seg", "region"], ["price", "bal"])
-    t = _scored_losses(scored, classes)
-    return t.select("n", F.round("zero_one", 2).alias("zero_one"), F.round("logloss", 2).alias("logloss"))
+    """Logistic regression on the categories of the orders."""
+    cells = C.cuboid(B.orders_problem(spark, d), OA)
+    return _scored_losses(Z.fit_logistic(cells, OA).score(cells), C.labels(cells))
+
+
+@query("ln_lr_w")
+def ln_lr_w(spark, d):
+    """The same on the logs of naive Bayes parameters, started there."""
+    cells = C.cuboid(B.orders_problem(spark, d), OA)
+    return _scored_losses(Z.fit_logistic(cells, OA, scaled=True).score(cells), C.labels(cells))
 
 
 # --- streams: events in order of arrival

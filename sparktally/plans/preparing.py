@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import counts as C
 from ..operators import discretise as D
 from ..operators import filters as L
+from ..operators import rules as R
 from ..operators import sampling as S
 from ..sources import bindings as B
 from .registry import query
@@ -101,18 +104,43 @@ def flt_feature_rules(spark, d):
 
 
 A3 = ["ls", "tax", "disc"]
-RULES = f"""{with_inst(LINES, f"c1 AS ({cube_sql(A3, 1)})", f"c2 AS ({cube_sql(A3, 2)})")},
-tot AS (SELECT CAST(count(*) AS DOUBLE) AS nn FROM inst), ny AS (SELECT y, count(*) AS ny FROM inst GROUP BY y),
-r1 AS (SELECT a1 || '=' || v1 AS items, y, n, n / nn - sum(n) OVER (PARTITION BY a1, v1) / nn * ny / nn AS leverage FROM c1 JOIN ny USING (y), tot),
-r2 AS (SELECT a1 || '=' || v1 AS i1, a2 || '=' || v2 AS i2, y, n, n / nn - sum(n) OVER (PARTITION BY a1, v1, a2, v2) / nn * ny / nn AS leverage FROM c2 JOIN ny USING (y), tot),
-good AS (SELECT r2.i1 || '&' || r2.i2 AS items, r2.y, r2.n, r2.leverage FROM r2 JOIN r1 p ON p.items = i1 AND p.y = r2.y JOIN r1 q ON q.items = i2 AND q.y = r2.y WHERE r2.leverage > greatest(p.leverage, q.leverage))
-SELECT items, y, CAST(n AS BIGINT) AS n, round(leverage, 6) AS leverage FROM (SELECT * FROM r1 UNION ALL SELECT * FROM good) ORDER BY round(leverage, 9) DESC, items, y LIMIT 10"""
 
 
-@query("ms_opus", RULES)
+def _rules_sql(atts: list[str], k: int) -> str:
+    """Every itemset of up to three attributes, held against those with one item less by a sum of hypergeometric terms."""
+    sets = []
+    for size in range(len(atts) + 1):
+        for s in combinations(atts, size):
+            cols = ", ".join(f"'{a}=' || {a} AS i{i}" if a in s else f"NULL AS i{i}" for i, a in enumerate(atts))
+            sets.append(f"SELECT {size} AS size, {cols}, y, count(*) AS n FROM inst GROUP BY ALL")
+    ids = [f"i{i}" for i in range(len(atts))]
+    key = ", ".join(ids)
+    same = lambda out: " AND ".join(f"q.i{i} IS NOT DISTINCT FROM {'NULL' if i == out else f'r.i{i}'}" for i in range(len(atts)))
+    parts = " UNION ALL ".join(f"SELECT r.*, q.n AS pn, q.cover AS pcover FROM r JOIN s q ON q.y = r.y AND q.size = r.size - 1 AND {same(i)} WHERE r.i{i} IS NOT NULL" for i in range(len(atts)))
+    choose = lambda n, m: f"lgamma({n} + 1) - lgamma({m} + 1) - lgamma({n} - ({m}) + 1)"
+    term = f"exp({choose('pn', 'x')} + {choose('(pcover - pn)', '(cover - x)')} - ({choose('pcover', 'cover')}))"
+    return f"""{with_inst(LINES)}, tot AS (SELECT CAST(count(*) AS DOUBLE) AS nn FROM inst), ny AS (SELECT y, count(*) AS ny FROM inst GROUP BY y),
+s0 AS ({' UNION ALL '.join(sets)}), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY size, {key}) AS BIGINT) AS cover FROM s0),
+r AS (SELECT s.*, n / nn - cover / nn * ny / nn AS leverage FROM s JOIN ny USING (y) CROSS JOIN tot WHERE size > 0 AND n / nn - cover / nn * ny / nn > 0),
+p AS ({parts}),
+t AS (SELECT size, {key}, y, n, cover, leverage, max(list_sum(list_transform(range(n, least(pn, cover) + 1), lambda x: {term}))) AS p, bool_or(pcover = cover) AS implied FROM p GROUP BY ALL)
+SELECT concat_ws('&', {key}) AS items, y, cover, CAST(n AS BIGINT) AS n, round(leverage, 6) AS leverage, round(least(p, 1), 6) AS p FROM t WHERE p <= 0.05 AND NOT implied ORDER BY round(t.leverage, 9) DESC, items, y LIMIT {k}"""
+
+
+@query("ms_opus", _rules_sql(A3, 25))
 def ms_opus(spark, d):
-    cells = C.cuboid(B.lines_problem(spark, d), A3)
-    return L.top_rules(cells, A3, 10).select(F.array_join("items", "&").alias("items"), "y", "n", F.round("leverage", 6).alias("leverage"))
+    """The 25 productive rules of most leverage, of any length."""
+    rules = R.find_rules(C.cuboid(B.lines_problem(spark, d), A3), A3, 25)
+    return rules.select(F.array_join("items", "&").alias("items"), "y", "cover", F.col("support").alias("n"), F.round("value", 6).alias("leverage"), F.round("p", 6).alias("p"))
+
+
+@query("flt_mined_features")
+def flt_mined_features(spark, d):
+    """How often each feature that the rule search found, on categories and cut numbers, holds in each class."""
+    df = B.lines_problem(spark, d)
+    features, _ = R.mine_features(df, ["ls", "tax"], ["qty", "price"], 8)
+    marks = F.array(*(F.struct(F.lit(name).alias("feature"), test.alias("value")) for name, test in features.items()))
+    return df.select("y", F.explode(marks).alias("f")).groupBy("f.feature", "f.value", "y").agg(F.count("*").alias("n"))
 
 
 # --- discretisers

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import bayes as N
 from ..operators import counts as C
+from ..operators import elimination as V
 from ..operators import selection as S
 from ..sources import bindings as B
 from .cubes_and_measures import LA, LINES, line_cells, order_cells
-from .learning import OA, learner
+from .learning import OA, ORDERS, learner
 from .models import _scored_losses
 from .registry import query
 from .sqltext import cube_sql, info_sql, with_inst
@@ -60,7 +61,41 @@ def sub_loo_weight(spark, d):
 
 
 learner("ln_aode_loo", lambda c: S.fit_aode_loo(c, OA))
-learner("ln_aode_bse", lambda c: S.fit_backward_elimination(c, OA[:3]))
+learner("ln_aode_bse", lambda c: V.eliminate(c, OA, "poce")[0])
+learner("ln_aode_bse_ce", lambda c: V.eliminate(c, OA, "ce")[0])
+learner("ln_aode_bse_pe", lambda c: V.eliminate(c, OA, "pe")[0])
+learner("ln_aode_bse_pace", lambda c: V.eliminate(c, OA, "pace")[0])
+
+
+def _bse_sql() -> str:
+    """Leave-one-out errors of AODE and of its first removals: factors in long form, an attribute's taken out by a filter."""
+    cells = f"cells AS (SELECT row_number() OVER () AS id, * FROM (SELECT {', '.join(OA)}, y, count(*) AS n FROM inst GROUP BY ALL))"
+    atts = "atts AS (" + " UNION ALL ".join(f"SELECT {i} AS att, count(DISTINCT {a}) AS k FROM inst" for i, a in enumerate(OA)) + ")"
+    cls = "cls AS (SELECT y AS class, count(*) AS ny FROM inst GROUP BY y), tot AS (SELECT CAST(sum(ny) AS DOUBLE) - 1 AS nn, count(*) AS nc FROM cls)"
+    lng = "lng AS (" + " UNION ALL ".join(f"SELECT id, y, n, {i} AS att, {a} AS v FROM cells" for i, a in enumerate(OA)) + ")"
+    one = "one AS (SELECT att, v, y, sum(n) AS c FROM lng GROUP BY ALL)"
+    two = "two AS (SELECT a.att AS p, a.v AS pv, b.att AS q, b.v AS qv, a.y, sum(a.n) AS c FROM lng a JOIN lng b ON a.id = b.id AND a.att <> b.att GROUP BY ALL)"
+    own = lambda t: f"greatest(coalesce({t}.c, 0) - CASE WHEN l.y = class THEN 1 ELSE 0 END, 0)"
+    prior = f"prior AS (SELECT l.id, l.y, l.n, l.att AS p, class, {own('one')} AS c, ln(({own('one')} + 1.0::DOUBLE / (nc * k)) / (nn + 1)) AS f FROM lng l JOIN atts USING (att) CROSS JOIN cls CROSS JOIN tot LEFT JOIN one ON one.att = l.att AND one.v = l.v AND one.y = class)"
+    factor = f"factor AS (SELECT l.id, l.p, q.att AS q, l.class, ln(({own('two')} + 1.0::DOUBLE / k) / (l.c + 1)) AS f FROM prior l JOIN lng w ON w.id = l.id AND w.att = l.p JOIN lng q ON q.id = l.id AND q.att <> l.p JOIN atts ON atts.att = q.att LEFT JOIN two ON two.p = l.p AND two.pv = w.v AND two.q = q.att AND two.qv = q.v AND two.y = l.class)"
+    tries = "tries AS (SELECT '' AS kind, -1 AS att UNION ALL SELECT kind, att FROM atts, (VALUES ('child'), ('parent'), ('both')) AS x(kind))"
+    logs = "logs AS (SELECT kind, tries.att, r.id, r.y, r.n, r.p, r.class, max(r.f) + coalesce(sum(factor.f) FILTER (NOT (kind IN ('child', 'both') AND factor.q = tries.att)), 0) AS s FROM tries CROSS JOIN prior r JOIN factor ON factor.id = r.id AND factor.p = r.p AND factor.class = r.class WHERE NOT (kind IN ('parent', 'both') AND r.p = tries.att) AND (SELECT sum(c) FROM prior z WHERE z.id = r.id AND z.p = r.p) > 0 GROUP BY ALL)"
+    votes = "votes AS (SELECT kind, att, id, y, n, class, sum(exp(s)) AS v FROM logs GROUP BY ALL)"
+    shares = "shares AS (SELECT kind, att, id, max(n) AS n, sum(CASE WHEN class = y THEN v END) / sum(v) AS share FROM votes GROUP BY ALL)"
+    ctes = [cells, atts, cls, lng, one, two, prior, factor, tries, logs, votes, shares]
+    return with_inst(ORDERS, *ctes) + " SELECT kind, CAST(att AS INT) AS att, CAST((SELECT sum(n) FROM cells) AS BIGINT) AS n, round(sqrt((coalesce(sum(n * (1 - share) ** 2), 0) + ((SELECT sum(n) FROM cells) - sum(n)) * (1 - 1.0::DOUBLE / (SELECT nc FROM tot)) ** 2) / (SELECT sum(n) FROM cells)), 6) AS rmse FROM shares GROUP BY kind, att"
+
+
+@query("sub_bse_errors", _bse_sql())
+def sub_bse_errors(spark, d):
+    """Errors of the whole model and of every single removal, by which the first round of the elimination decides."""
+    cells = order_cells(spark, d)
+    classes, sizes = C.labels(cells), C.domain_sizes(cells, OA)
+    every = list(range(len(OA)))
+    rows = V.leave_one_out_cells(cells, OA, classes)
+    return V.round_errors(rows, [sizes[a] for a in OA], len(classes), every, every, V.MODES["poce"], 1.0).select("kind", "att", F.col("n").cast("long").alias("n"), F.round("rmse", 6).alias("rmse"))
+
+
 learner("ln_aode_pw", lambda c: N.AnDE(OA, 1, weights=N.mi_weights(c, OA, 1)))
 learner("ln_kdb_ext", lambda c: (lambda keep: N.fit_kdb(c, keep, 2))(S.chi_square_select(c, OA)))
 learner("ln_kdb_fcbf", lambda c: (lambda keep: N.fit_kdb(c, keep, 1))(S.correlation_filter(c, OA)))

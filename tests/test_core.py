@@ -422,3 +422,46 @@ def test_twins(spark, name):
     a, b = entry.queries()[name](spark, d).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     key = lambda df: sorted(tuple(repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].to_numpy().tolist())
     assert sorted(a.columns) == sorted(b.columns) and key(a) == key(b)
+
+
+def backed_off(train, row, parents, sizes, classes, least):
+    """Posterior of a network whose last parents are left out until enough rows have the rest."""
+    out = []
+    for y in classes:
+        mine = [t for t in train if t[0] == y]
+        p = (len(mine) + 1 / len(classes)) / (len(train) + 1)
+        for a, ps in parents.items():
+            ps = list(ps)
+            while ps and sum(all(t[x] == row[x] for x in ps) for t in train) < least:
+                ps.pop()
+            same = [t for t in mine if all(t[x] == row[x] for x in ps)]
+            p *= (sum(t[a] == row[a] for t in same) + 1 / sizes[a]) / (len(same) + 1)
+        out.append(p)
+    return [p / sum(out) for p in out]
+
+
+@pytest.mark.parametrize("least", [1, 6])
+def test_backing_off_to_the_longest_seen_prefix(spark, least):
+    rng = random.Random(5)
+    names, places = ["a", "b", "c", "d", "e"], {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5}
+    train = [(rng.choice("pq"), *(rng.choice("uvwxyz"[:k]) for k in (2, 3, 4, 5, 6))) for _ in range(120)]
+    rows = [(rng.choice("pq"), *(rng.choice("uvwxyz!"[: k + 1]) for k in (2, 3, 4, 5, 6))) for _ in range(60)]  # with unseen values
+    schema = "y string, " + ", ".join(f"{a} string" for a in names)
+    cells = C.cuboid(spark.createDataFrame(train, schema), names)
+    net = N.Network(names, {"b": ["a"], "c": ["b", "a"], "d": ["c", "a", "b"], "e": ["d", "c", "b"]}, backoff=least)
+    sizes = C.domain_sizes(cells, names)
+    got = {tuple(r[x] for x in ["y", *names]): r.p for r in net.score(spark.createDataFrame(list(set(rows)), schema), N.Lookup(cells, ["p", "q"]), sizes).collect()}
+    parents = {places[a]: [places[p] for p in net.parents.get(a, [])] for a in names}
+    for r in set(rows):
+        assert got[r] == pytest.approx(backed_off(train, r, parents, {places[a]: k for a, k in sizes.items()}, ["p", "q"], least), abs=1e-9)
+
+
+def test_bags_look_up_their_own_counts(spark):
+    cells = spark.createDataFrame([(0, "u", "p", 3), (0, "v", "q", 1), (1, "u", "q", 2)], "bag int, a string, y string, n long")
+    rows = spark.createDataFrame([(b, v) for b in (0, 1) for v in ("u", "v")], "bag int, a string")
+    got = N.naive_bayes(["a"]).score(rows, N.Lookup(cells, ["p", "q"], within="bag"), {"a": 2}).collect()
+    for r in got:
+        n = {"p": 3 if r.bag == 0 else 0, "q": 1 if r.bag == 0 else 2}
+        hit = {"p": 3 * (r.bag == 0 and r.a == "u"), "q": (1 if r.a == "v" else 0) if r.bag == 0 else 2 * (r.a == "u")}
+        raw = [(n[y] + 0.5) / (sum(n.values()) + 1) * (hit[y] + 0.5) / (n[y] + 1) for y in "pq"]
+        assert r.p == pytest.approx([x / sum(raw) for x in raw])
