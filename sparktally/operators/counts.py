@@ -46,7 +46,17 @@ def domain_sizes(cells: DataFrame, atts: list[str]) -> dict[str, int]:
     return {a: int(row[a]) for a in atts}
 
 
+#: Values of portable_hash: 52 bits, so that they are exact as doubles too.
+HASH_SPACE = 1 << 52
+
+
+def portable_hash(key: str | Column, seed: int | str | Column = 0) -> Column:
+    """A whole number under 2 ** 52 that any engine with MD5 repeats; other seeds give independent numbers."""
+    c = F.col(key) if isinstance(key, str) else key
+    s = seed if isinstance(seed, Column) else F.lit(str(seed))
+    return F.conv(F.substring(F.md5(F.concat(s.cast("string"), F.lit(":"), c.cast("string"))), 1, 13), 16, 10).cast("long")
+
+
 def fold_of(id_col: str | Column, folds: int, exp: int = 0) -> Column:
-    """Portable fold number of an id: integer arithmetic that any engine repeats."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return ((c * 7919 + 104729 * exp) % 1000003 % folds).cast("int")
+    """Portable fold number of an id, drawn anew for each experiment."""
+    return (portable_hash(id_col, exp) % folds).cast("int")

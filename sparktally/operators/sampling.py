@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from math import exp
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .counts import HASH_SPACE, portable_hash
 
-def portable_hash(c: Column, seed: int = 0) -> Column:
-    """A whole number under 1 000 003 from whole-number arithmetic."""
-    return (c * 7919 + 104729 * seed) % 1000003
+#: Rows that a window may rank at once when places are given.
+BUCKET_ROWS = 50_000
 
 
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by least hash: what a reservoir would hold, but repeatable. A bounded top-n, no full sort."""
-    return df.orderBy(portable_hash(F.col(id_col), seed), id_col).limit(n)
+    return df.orderBy(portable_hash(id_col, seed), id_col).limit(n)
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
-    """Every row with its ``place`` in a shuffle, from 1."""
-    h = portable_hash(F.col(id_col), seed)
-    return placed(df, [F.floor(h / 1024).alias("_k0")], [h, F.col(id_col)])
+    """Every row with its ``place`` in a shuffle, from 1; the hashes are even, so equal stretches of them are buckets by the rows counted."""
+    h = portable_hash(id_col, seed)
+    width = HASH_SPACE // (df.count() // BUCKET_ROWS + 1) + 1
+    return placed(df, [F.floor(h / width).alias("_k0")], [h, F.col(id_col)])
 
 
 def placed(df: DataFrame, buckets: list[Column], order: list[Column]) -> DataFrame:
@@ -36,27 +42,68 @@ def placed(df: DataFrame, buckets: list[Column], order: list[Column]) -> DataFra
     return d.withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).drop(*keys, "_before")
 
 
-def ranges(df: DataFrame, col: str, n: int = 256) -> Column:
-    """The number of the range, of about ``n`` equally full ones, in which ``col`` lies; the cuts are what reaches the driver."""
-    cuts = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 0.5 / n)))
+def ranges(df: DataFrame, col: str, n: int | None = None) -> Column:
+    """The number of the range, of ``n`` about equally full ones (by the rows counted where not given), in which ``col`` lies; the cuts are what reaches the driver."""
+    n = n or df.count() // BUCKET_ROWS + 1
+    cuts = sorted(set(df.approxQuantile(col, [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
     return F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(col)))
 
 
+def uniform(key: str | Column, seed: int | str | Column = 0) -> Column:
+    """A number between 0 and 1, neither included."""
+    return (portable_hash(key, seed) + 0.5) / float(HASH_SPACE)
+
+
 def weighted_sample(df: DataFrame, id_col: str, weight: str, n: int, seed: int = 0) -> DataFrame:
     """Weighted sample without replacement: largest u ** (1 / w), as log(u) / w."""
-    u = (portable_hash(F.col(id_col), seed) + 1) / 1000004.0
-    return df.where(F.col(weight) > 0).withColumn("_k", F.round(F.log(u) / F.col(weight), 12)).orderBy(F.desc("_k"), id_col).limit(n).drop("_k")
+    return df.where(F.col(weight) > 0).withColumn("_k", F.round(F.log(uniform(id_col, seed)) / F.col(weight), 12)).orderBy(F.desc("_k"), id_col).limit(n).drop("_k")
+
+
+def poisson_steps() -> list[float]:
+    """Where the distribution of Poisson(1) steps up, as far as doubles tell it from 1."""
+    out, term, total = [], exp(-1), 0.0
+    while total + term > total and total + term < 1.0:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
 
 
 def bootstrap_counts(df: DataFrame, id_col: str, bags: int, seed: int = 0) -> DataFrame:
-    """(bag, id..., times): Poisson(1) copies of every row in every bag, by inversion of a hash. Narrow."""
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    """(bag, id..., times): Poisson(1) copies of every row in every bag, by inversion of a hash of row and bag. Narrow."""
     d = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    u = ((F.col(id_col) * 7919 + (F.col("bag") + 1) * 104729 + seed * 1299709) % 1000003) / 1000003.0
-    times = F.lit(0)
-    for s in steps:
-        times = times + F.when(u >= s, 1).otherwise(0)
-    return d.withColumn("times", times).where("times > 0")
+    d = d.withColumn("_u", uniform(id_col, F.concat(F.lit(f"{seed}."), F.col("bag"))))
+    steps = F.array(*map(F.lit, poisson_steps()))
+    return d.withColumn("times", F.size(F.filter(steps, lambda s: F.col("_u") >= s))).where("times > 0").drop("_u")
+
+
+def mersenne_draws(df: DataFrame, place: str, seed: int, name: str = "draw") -> DataFrame:
+    """``df`` with the 32-bit draw of its row: the draw number ``place`` (from 1) of a Mersenne Twister seeded with ``seed``.
+
+    Rows are dealt by ranges of places; each task runs its own generator up to its first row
+    without keeping what it skips, so draws do not depend on how the rows are dealt. Skipping
+    takes some 2 ns a row.
+    """
+    fields = [f for f in df.schema.fields if f.name != name]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` long"
+    at = [f.name for f in fields].index(place)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, done = np.random.RandomState(seed)._bit_generator, 0
+        for b in batches:
+            if b.num_rows:
+                places = b.column(at).to_numpy()
+                bits.random_raw(int(places[0]) - 1 - done, output=False)
+                done = int(places[-1])
+                drawn = bits.random_raw(done - int(places[0]) + 1)[places - places[0]]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(drawn.astype(np.int64))], names=[*b.schema.names, name])
+
+    return df.select(*(f.name for f in fields)).repartitionByRange(place).sortWithinPartitions(place).mapInArrow(run, schema)
+
+
+def drawn_folds(df: DataFrame, place: str, folds: int, exp: int = 0) -> DataFrame:
+    """``df`` with ``fold``: the row's draw modulo ``folds``, the generator seeded with the experiment's number."""
+    return mersenne_draws(df, place, exp, "_draw").withColumn("fold", (F.col("_draw") % folds).cast("int")).drop("_draw")
 
 
 def systematic_resample(df: DataFrame, id_col: str, weight: str, n: int) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import evaluate as E
 from ..sources import bindings as B
 from .cubes_and_measures import order_cells
 from .registry import query
-from .sqltext import LOSSES, POSTERIOR, ande_sql, cube_sql, network_sql, with_inst
+from .sqltext import LOSSES, POSTERIOR, ande_sql, cube_sql, hash_sql, network_sql, with_inst
 
 OA = B.ORDER_ATTS
 ORDERS = B.ORDERS_SQL
@@ -231,12 +231,12 @@ def agg_auc_multi(spark, d):
 
 # --- cross-validation, hold-out, bias and variance
 
-FOLD = "((id * 7919 + 104729 * 0) % 1000003 % 10)"
+FOLD = f"({hash_sql(0)} % 10)"
 
 
 def _xval_sql(folds=10):
     """Naive Bayes cross-validation: total minus fold counts."""
-    f = ["fi AS (SELECT *, " + FOLD.replace("10)", f"{folds})") + " AS fold FROM inst)", f"cells AS (SELECT fold, {KEY}, y, count(*) AS n FROM fi GROUP BY ALL)", "cls AS (SELECT DISTINCT y AS class FROM inst)", "fy AS (SELECT fold, y, count(*) AS n FROM fi GROUP BY ALL)", "ty AS (SELECT y, count(*) AS n FROM inst GROUP BY y)", "fo AS (SELECT DISTINCT fold FROM fi)", "ny AS (SELECT fo.fold, class, ty.n - coalesce(fy.n, 0) AS n FROM fo CROSS JOIN cls JOIN ty ON ty.y = class LEFT JOIN fy ON fy.y = class AND fy.fold = fo.fold)", "nn AS (SELECT fold, sum(n) AS n, count(*) AS k FROM ny GROUP BY fold)"]
+    f = ["fi AS (SELECT *, " + FOLD.replace("% 10)", f"% {folds})") + " AS fold FROM inst)", f"cells AS (SELECT fold, {KEY}, y, count(*) AS n FROM fi GROUP BY ALL)", "cls AS (SELECT DISTINCT y AS class FROM inst)", "fy AS (SELECT fold, y, count(*) AS n FROM fi GROUP BY ALL)", "ty AS (SELECT y, count(*) AS n FROM inst GROUP BY y)", "fo AS (SELECT DISTINCT fold FROM fi)", "ny AS (SELECT fo.fold, class, ty.n - coalesce(fy.n, 0) AS n FROM fo CROSS JOIN cls JOIN ty ON ty.y = class LEFT JOIN fy ON fy.y = class AND fy.fold = fo.fold)", "nn AS (SELECT fold, sum(n) AS n, count(*) AS k FROM ny GROUP BY fold)"]
     joins, terms = " JOIN ny ON ny.fold = cells.fold JOIN nn ON nn.fold = cells.fold", ["ln((ny.n + 1.0::DOUBLE / nn.k) / (nn.n + 1.0))"]
     for a in OA:
         f += [f"k_{a} AS (SELECT count(DISTINCT {a}) AS k FROM inst)", f"t_{a} AS (SELECT {a}, y, count(*) AS n FROM inst GROUP BY ALL)", f"f_{a} AS (SELECT fold, {a}, y, count(*) AS n FROM fi GROUP BY ALL)"]
@@ -313,9 +313,8 @@ def agg_bias_variance(spark, d):
 
 
 def _curve_sql(size: int) -> str:
-    h = "(id * 7919 + 104729 * {s}) % 1000003"
-    test = f"SELECT * FROM inst ORDER BY {h.format(s=0)}, id LIMIT 1000"
-    train = f"SELECT * FROM inst WHERE id NOT IN (SELECT id FROM tst) ORDER BY {h.format(s=1)}, id LIMIT {size}"
+    test = f"SELECT * FROM inst ORDER BY {hash_sql(0)}, id LIMIT 1000"
+    train = f"SELECT * FROM inst WHERE id NOT IN (SELECT id FROM tst) ORDER BY {hash_sql(1)}, id LIMIT {size}"
     return f"SELECT *, {size} AS train_size FROM ({with_inst(ORDERS, f'tst AS ({test})', f'trn AS ({train})', TT)}{LOSS})"
 
 

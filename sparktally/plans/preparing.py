@@ -14,9 +14,9 @@ from ..operators import rules as R
 from ..operators import sampling as S
 from ..sources import bindings as B
 from .registry import query
-from .sqltext import cube_sql, with_inst
+from .sqltext import cube_sql, hash_sql, with_inst
 
-ORDERS, LINES = B.ORDERS_SQL, B.LINES_SQL
+ORDERS, LINES, HASH_SPACE = B.ORDERS_SQL, B.LINES_SQL, C.HASH_SPACE
 
 
 @query("flt_class", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'Negative' END AS y FROM orders")
@@ -56,7 +56,7 @@ def flt_chain(spark, d):
     return L.chain(B.orders_problem(spark, d), steps).select("id", "y", F.round("price", 6).alias("price"))
 
 
-FOLD = "CAST((id * 7919 + 104729 * 1) % 1000003 % 10 AS INT)"
+FOLD = f"CAST({hash_sql(1)} % 10 AS INT)"
 
 
 @query("smp_fold", with_inst(ORDERS) + f" SELECT {FOLD} AS fold, count(*) AS n FROM inst GROUP BY 1")
@@ -218,39 +218,38 @@ def dsc_apply_missing(spark, d):
 
 # --- samples
 
-H = "(id * 7919 + 104729 * {s}) % 1000003"
 
 
-@query("smp_reservoir", with_inst(ORDERS) + f" SELECT id, y FROM inst ORDER BY {H.format(s=0)}, id LIMIT 500")
+@query("smp_reservoir", with_inst(ORDERS) + f" SELECT id, y FROM inst ORDER BY {hash_sql(0)}, id LIMIT 500")
 def smp_reservoir(spark, d):
     return S.hash_sample(B.orders_problem(spark, d), "id", 500).select("id", "y")
 
 
-@query("smp_cache", with_inst(ORDERS) + f" SELECT id FROM inst ORDER BY {H.format(s=7)}, id LIMIT 1000")
+@query("smp_cache", with_inst(ORDERS) + f" SELECT id FROM inst ORDER BY {hash_sql(7)}, id LIMIT 1000")
 def smp_cache(spark, d):
     return S.hash_sample(B.orders_problem(spark, d), "id", 1000, 7).select("id")
 
 
-@query("smp_holdout", with_inst(ORDERS) + f" SELECT id FROM inst WHERE id NOT IN (SELECT id FROM inst ORDER BY {H.format(s=3)}, id LIMIT 300)")
+@query("smp_holdout", with_inst(ORDERS) + f" SELECT id FROM inst WHERE id NOT IN (SELECT id FROM inst ORDER BY {hash_sql(3)}, id LIMIT 300)")
 def smp_holdout(spark, d):
     df = B.orders_problem(spark, d)
     return df.join(S.hash_sample(df, "id", 300, 3).select("id"), "id", "left_anti").select("id")
 
 
-@query("smp_shuffle", with_inst(ORDERS) + f" SELECT id, row_number() OVER (ORDER BY {H.format(s=5)}, id) AS place FROM inst")
+@query("smp_shuffle", with_inst(ORDERS) + f" SELECT id, row_number() OVER (ORDER BY {hash_sql(5)}, id) AS place FROM inst")
 def smp_shuffle(spark, d):
     return S.shuffled(B.orders_problem(spark, d), "id", 5).select("id", "place")
 
 
-@query("smp_weighted", with_inst(ORDERS) + " SELECT id FROM inst WHERE price > 0 ORDER BY round(ln(((id * 7919) % 1000003 + 1) / 1000004.0::DOUBLE) / price, 12) DESC, id LIMIT 200")
+@query("smp_weighted", with_inst(ORDERS) + f" SELECT id FROM inst WHERE price > 0 ORDER BY round(ln(({hash_sql(0)} + 0.5::DOUBLE) / {HASH_SPACE}::DOUBLE) / price, 12) DESC, id LIMIT 200")
 def smp_weighted(spark, d):
     return S.weighted_sample(B.orders_problem(spark, d), "id", "price", 200).select("id")
 
 
-POISSON = " + ".join(f"CASE WHEN u >= {s}::DOUBLE THEN 1 ELSE 0 END" for s in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
+POISSON = " + ".join(f"CASE WHEN u >= '{s}'::DOUBLE THEN 1 ELSE 0 END" for s in S.poisson_steps())
 
 
-@query("smp_bootstrap", with_inst(ORDERS) + f", b AS (SELECT bag, id, {POISSON} AS times FROM (SELECT id, bag, ((id * 7919 + (bag + 1) * 104729) % 1000003) / 1000003.0::DOUBLE AS u FROM inst, range(0, 5) r(bag))) SELECT CAST(bag AS INT) AS bag, count(*) AS n_rows, CAST(sum(times) AS BIGINT) AS drawn FROM b WHERE times > 0 GROUP BY bag")
+@query("smp_bootstrap", with_inst(ORDERS) + f", b AS (SELECT bag, id, {POISSON} AS times FROM (SELECT id, bag, ({hash_sql("'0.' || bag")} + 0.5::DOUBLE) / {HASH_SPACE}::DOUBLE AS u FROM inst, range(0, 5) r(bag))) SELECT CAST(bag AS INT) AS bag, count(*) AS n_rows, CAST(sum(times) AS BIGINT) AS drawn FROM b WHERE times > 0 GROUP BY bag")
 def smp_bootstrap(spark, d):
     return S.bootstrap_counts(B.orders_problem(spark, d), "id", 5).groupBy("bag").agg(F.count("*").alias("n_rows"), F.sum("times").alias("drawn"))
 
@@ -261,16 +260,24 @@ def smp_resample_w(spark, d):
     return S.systematic_resample(p, "id", "w", 1000).select("id", "times")
 
 
-@query("smp_bv_split", with_inst(ORDERS) + f", t AS (SELECT id FROM inst ORDER BY {H.format(s=0)}, id LIMIT 400), r AS (SELECT id FROM inst WHERE id NOT IN (SELECT id FROM t) ORDER BY {H.format(s=3)}, id LIMIT 600) SELECT id, 'test' AS part FROM t UNION ALL SELECT id, 'train' FROM r")
+@query("smp_bv_split", with_inst(ORDERS) + f", t AS (SELECT id FROM inst ORDER BY {hash_sql(0)}, id LIMIT 400), r AS (SELECT id FROM inst WHERE id NOT IN (SELECT id FROM t) ORDER BY {hash_sql(3)}, id LIMIT 600) SELECT id, 'test' AS part FROM t UNION ALL SELECT id, 'train' FROM r")
 def smp_bv_split(spark, d):
     return S.bias_variance_split(B.orders_problem(spark, d), "id", 600, 400, 2).select("id", "part")
 
 
-@query("smp_rng", "SELECT count(*) AS n FROM orders")
+@query("smp_rng")
 def smp_rng(spark, d):
-    """Uniform and normal draws: their moments hold, their number is exact."""
-    t = B.table(spark, d, "orders").select(F.rand(1).alias("u"), F.randn(2).alias("g"))
-    return t.agg(F.count_if((F.col("u") >= 0) & (F.col("u") < 1) & F.col("g").isNotNull()).alias("n"))
+    """Two streams of draws, as whole numbers and between 0 and 1, for the orders by id."""
+    o = B.orders_problem(spark, d).select("id")
+    t = S.mersenne_draws(S.placed(o, [S.ranges(o, "id").alias("_k0")], [F.col("id")]), "place", 1)
+    return t.withColumn("uniform", F.col("draw") / float(1 << 32))
+
+
+@query("smp_fold_drawn")
+def smp_fold_drawn(spark, d):
+    """Folds by the generator's draws in the order of ids."""
+    o = B.orders_problem(spark, d).select("id", "y")
+    return S.drawn_folds(S.placed(o, [S.ranges(o, "id").alias("_k0")], [F.col("id")]), "place", 10, 1).select("id", "fold")
 
 
 @query("srt_num", "SELECT o_orderkey AS id, o_totalprice AS price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")

@@ -10,6 +10,12 @@ def with_inst(body: str, *ctes: str) -> str:
     return "WITH " + ", ".join([f"inst AS ({body})", *ctes])
 
 
+def hash_sql(seed: int | str, key: str = "id") -> str:
+    """The portable hash; ``seed`` is a number, or an SQL expression of a string."""
+    s = f"'{seed}:'" if isinstance(seed, int) else f"{seed} || ':'"
+    return f"CAST('0x' || substr(md5({s} || {key}), 1, 13) AS BIGINT)"
+
+
 def cube_sql(atts: list[str], k: int, src: str = "inst", extra: str = "") -> str:
     """All k-subsets of the attributes, grouped one by one."""
     parts = []

@@ -1,5 +1,6 @@
 """Golden values, hand cases, invariants and brute force for the core library."""
 
+import hashlib
 import math
 import random
 
@@ -334,7 +335,7 @@ def test_places_of_a_sort(spark):
     want = {i: k + 1 for k, (_, i) in enumerate(sorted((p, i) for i, p in rows))}
     assert {r.id: r.place for r in P.placed(df, [P.ranges(df, "price", 16).alias("_k0")], [F.col("price"), F.col("id")]).collect()} == want
     got = sorted((r.place, r.id) for r in P.shuffled(df, "id", 5).collect())
-    assert [i for _, i in got] == sorted(range(400), key=lambda i: ((i * 7919 + 104729 * 5) % 1000003, i)) and [k for k, _ in got] == list(range(1, 401))
+    assert [i for _, i in got] == sorted(range(400), key=lambda i: (int(hashlib.md5(f"5:{i}".encode()).hexdigest()[:13], 16), i)) and [k for k, _ in got] == list(range(1, 401))
 
 
 def test_aode_of_many_attributes(spark):
@@ -465,3 +466,48 @@ def test_bags_look_up_their_own_counts(spark):
         hit = {"p": 3 * (r.bag == 0 and r.a == "u"), "q": (1 if r.a == "v" else 0) if r.bag == 0 else 2 * (r.a == "u")}
         raw = [(n[y] + 0.5) / (sum(n.values()) + 1) * (hit[y] + 0.5) / (n[y] + 1) for y in "pq"]
         assert r.p == pytest.approx([x / sum(raw) for x in raw])
+
+
+def test_hashes_of_two_seeds_are_independent(spark):
+    n = 20000
+    h = spark.range(n).select(*(C.portable_hash("id", s).alias(f"h{s}") for s in (0, 1)), C.portable_hash(F.col("id") + 2 * 10**15).alias("far")).collect()
+    a, b = [r.h0 / C.HASH_SPACE for r in h], [r.h1 / C.HASH_SPACE for r in h]
+    corr = (sum(x * y for x, y in zip(a, b)) / n - sum(a) * sum(b) / n / n) * 12
+    assert abs(corr) < 0.03 and abs(sum(a) / n - 0.5) < 0.01 and len({r.h0 for r in h}) == n
+    # differences are no constant, and rows of one fold spread over the folds of another experiment
+    assert len({round(x - y, 6) % 1 for x, y in zip(a[:100], b[:100])}) > 90
+    both = spark.range(n).groupBy(C.fold_of("id", 5, 0).alias("f"), C.fold_of("id", 5, 1).alias("g")).count().collect()
+    assert len(both) == 25 and all(abs(r["count"] - n / 25) < 150 for r in both)
+
+
+def test_bootstrap_has_no_cap(spark):
+    steps = P.poisson_steps()
+    assert len(steps) > 14 and steps[:2] == pytest.approx([math.exp(-1), 2 * math.exp(-1)]) and steps == sorted(set(steps))
+    t = P.bootstrap_counts(spark.range(100_000), "id", 2).agg(F.sum("times"), F.max("times"), F.sum(F.col("times") * F.col("times"))).first()
+    assert abs(t[0] / 200_000 - 1) < 0.02 and t[1] >= 7 and abs(t[2] / 200_000 - 2) < 0.05
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_draws_by_place(spark, parts):
+    """A million rows, or with gaps, whatever the number of partitions."""
+    import numpy as np
+
+    n = 1_000_000
+    want = np.random.RandomState(7)._bit_generator.random_raw(n).astype(np.int64)
+    assert np.random.RandomState(7).randint(0, 2**32, 5, dtype=np.uint32).astype(np.int64).tolist() == want[:5].tolist()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = P.mersenne_draws(spark.range(1, n + 1).withColumnRenamed("id", "place"), "place", 7).toPandas().sort_values("place")
+        assert (got["draw"].to_numpy() == want).all()
+        few = P.mersenne_draws(spark.range(3, n, 997).withColumnRenamed("id", "place"), "place", 7).collect()
+        assert all(r.draw == want[r.place - 1] for r in few)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_drawn_folds(spark):
+    import numpy as np
+
+    want = np.random.RandomState(3)._bit_generator.random_raw(500) % 10
+    got = P.drawn_folds(spark.range(1, 501).withColumnRenamed("id", "place"), "place", 10, 3).collect()
+    assert {r.place: r.fold for r in got} == {i + 1: int(f) for i, f in enumerate(want)}
