@@ -32,16 +32,13 @@ def leave_one_out_cells(cells: DataFrame, atts: list[str], classes: list[str]) -
     return rows.select((F.array_position(F.array(*map(F.lit, classes)), F.col("y")) - 1).cast("int").alias("at"), F.col("n").cast("double").alias("n"), "ny", "counts")
 
 
-def log_factors(ny: np.ndarray, counts: np.ndarray, at: np.ndarray, sizes: list[int], m: float) -> tuple[np.ndarray, np.ndarray]:
-    """(factors, seen) of a block of cells, their own row taken out of all counts.
+def log_factors(ny: np.ndarray, counts: np.ndarray, sizes: list[int], m: float) -> tuple[np.ndarray, np.ndarray]:
+    """(factors, seen) of a block of rows, by the counts per class of all rows, of each attribute's value and of each pair's.
 
     factors[b, p, c] has the logs per class of P(c | p, y), on the diagonal of P(p, y);
-    seen[b, p] tells whether any other row has the parent's value.
+    seen[b, p] tells whether any row has the parent's value.
     """
-    b, a, nc = len(at), len(sizes), ny.shape[1]
-    own = np.zeros((b, nc))
-    own[np.arange(b), at] = 1.0
-    ny, counts = ny - own, np.maximum(counts - own[:, None, :], 0.0)
+    b, a, nc = len(ny), len(sizes), ny.shape[1]
     out = np.empty((b, a, a, nc))
     for i in range(a):
         out[:, i, i] = np.log((counts[:, i] + m / (nc * sizes[i])) / (ny.sum(1)[:, None] + m))
@@ -51,6 +48,13 @@ def log_factors(ny: np.ndarray, counts: np.ndarray, at: np.ndarray, sizes: list[
     return out, counts[:, :a].sum(2) > 0
 
 
+def without_own(ny: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a block of rows less the row itself, of class ``at``."""
+    own = np.zeros_like(ny)
+    own[np.arange(len(at)), at] = 1.0
+    return ny - own, np.maximum(counts - own[:, None, :], 0.0)
+
+
 def removal_errors(factors: np.ndarray, seen: np.ndarray, at: np.ndarray, n: np.ndarray, parents: list[int], children: list[int], kinds: tuple[str, ...]) -> dict[tuple[str, int], float]:
     """Weighted squared error of the model ("", -1) and of each removal; a cell without a seen parent is held uniform."""
     everyone = np.arange(len(at))
@@ -86,7 +90,7 @@ def round_errors(rows: DataFrame, sizes: list[int], classes: int, parents: list[
             at, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             ny = b.column(2).flatten().to_numpy().reshape(-1, classes)
             counts = b.column(3).flatten().flatten().to_numpy().reshape(len(at), -1, classes)
-            factors, seen = log_factors(ny, counts, at, sizes, m)
+            factors, seen = log_factors(*without_own(ny, counts, at), sizes, m)
             found = removal_errors(factors, seen, at, n, parents, children, kinds)
             yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in found], "att": pa.array([a for _, a in found], pa.int32()), "n": [float(n.sum())] * len(found), "sse": list(found.values())})
 

@@ -289,12 +289,25 @@ def ln_sslrsgd(spark, d):
 
 @query("st_sgd_weights")
 def st_sgd_weights(spark, d):
-    df = _parts(spark, d)
-    classes = C.labels(df)
-    # members of little skill: the last class of the same key
-    members = {m: F.coalesce(F.lag("y").over(Window.partitionBy("part", m[5:]).orderBy("seq")), F.lit(classes[0])) for m in ("last_hour", "last_wday", "last_k4")}
-    t = df.withColumns(members)
-    return O.online_weights(t, list(members), classes).groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("error"))
+    """AODE over each part's events, its members weighted as they come."""
+    df, atts = _parts(spark, d), ["hour", "wday", "k4"]
+    cells = C.cuboid(df, atts)
+    t = O.member_weights(df, atts, C.labels(cells), C.domain_sizes(cells, atts))
+    return t.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("error"), 6).alias("error"), F.transform(F.max_by("weights", "seq"), lambda w: F.round(w, 6)).cast("string").alias("weights"))
+
+
+def _weighted(own):
+    def score(spark, d):
+        df = B.events_problem(spark, d)
+        cells = C.cuboid(df, EA)
+        classes = C.labels(cells)
+        return _scored_losses(O.fit_weighted_aode(df, EA, own=own).score(cells, Lookup(cells, classes), C.domain_sizes(cells, EA)), classes)
+
+    return score
+
+
+query("ln_aode_wsgd")(_weighted(True))
+query("ln_aode_wsgdh")(_weighted(False))
 
 
 @query("st_stack")
