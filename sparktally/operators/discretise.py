@@ -8,11 +8,14 @@ class counts), which loses nothing, so no sample of rows is needed.
 from __future__ import annotations
 
 import math
+from functools import reduce
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import shared_dir
+
 
 def value_counts(df: DataFrame, nums: list[str]) -> DataFrame:
     """(att, value, y, n) of the known values."""
@@ -89,8 +92,8 @@ def binary_cut(counts: DataFrame, classes: list[str]) -> DataFrame:
 def mdl_cuts(values: np.ndarray, table: np.ndarray) -> list[float]:
     """Recursive minimum-description-length cuts of sorted distinct values with class counts.
 
-    A split is kept while its gain exceeds (log2(N - 1) + delta) / N. Of equal splits the
-    last wins. The loop keeps its own stack; sums come from one prefix table.
+    A split is kept while its gain exceeds (log2(N - 1) + delta) / N; a side of one or two rows
+    is not split again. Of equal splits the last wins. The loop keeps its own stack; sums come from one prefix table.
     """
 
     def entropies(counts: np.ndarray) -> np.ndarray:
@@ -117,20 +120,80 @@ def mdl_cuts(values: np.ndarray, table: np.ndarray) -> list[float]:
             continue
         mid = a + at + 1
         cuts.append(float((values[mid - 1] + values[mid]) / 2))
-        todo += [(a, mid, kl), (mid, z, kr)]
+        todo += [(from_, to, k) for from_, to, k, n in ((a, mid, kl, nl[at]), (mid, z, kr, nr[at])) if n > 2]
     return sorted(cuts)
 
 
-def mdl(counts: DataFrame, classes: list[str]) -> DataFrame:
-    """(att, cut): one task per attribute reads its distinct values with class counts, not its rows."""
-    per = counts.groupBy("att", "value").agg(F.array(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)) for c in classes)).alias("c"))
-
-    def fit(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("value")
-        cuts = mdl_cuts(t["value"].to_numpy(), np.array(t["c"].to_pylist(), dtype=float))
-        return pa.table({"att": pa.array([key[0].as_py()] * len(cuts), pa.string()), "cut": pa.array(cuts, pa.float64())})
+def _running(per: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(by..., value, next, upto): counts of the ``n`` classes up to each distinct value and the value after it, per group.
 
-    return per.groupBy("att").applyInArrow(fit, "att string, cut double")
+    Values are dealt by ranges, so a group may lie in many of them. What a range adds to the
+    next ones is known for the groups that cross ranges, fewer than two for each range.
+    """
+    shared_dir(per.sparkSession)
+    d = per.repartitionByRange(*by, "value").withColumn("_part", F.spark_partition_id()).checkpoint()
+    w = Window.partitionBy("_part", *by).orderBy("value")
+    sums = [F.sum(F.get("c", F.lit(i))) for i in range(n)]
+    inside = d.withColumns({"_in": F.array(*(s.over(w.rowsBetween(Window.unboundedPreceding, 0)) for s in sums)), "_next": F.lead("value").over(w)})
+    ends = d.groupBy("_part", *by).agg(F.min("value").alias("_first"), *(s.alias(f"_c{i}") for i, s in enumerate(sums)))
+    over = Window.partitionBy(*by)
+    crossing = ends.withColumn("_n", F.count("*").over(over)).where("_n > 1")
+    along = over.orderBy("_part")
+    before = F.array(*(F.coalesce(F.sum(f"_c{i}").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for i in range(n)))
+    carry = crossing.select("_part", *by, before.alias("_before"), F.lead("_first").over(along).alias("_after"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in ["_part", *by]])
+    carry = carry.select(*(F.col(c).alias(f"_r_{c}") for c in ["_part", *by]), "_before", "_after")
+    joined = inside.join(F.broadcast(carry), same, "left")
+    upto = F.when(F.col("_before").isNull(), F.col("_in")).otherwise(F.zip_with("_in", "_before", lambda x, y: x + y))
+    return joined.select(*by, "value", F.coalesce("_next", "_after").alias("next"), upto.alias("upto"))
+
+
+def _entropy(counts: Column, n: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / n * F.log2(x / n)).otherwise(0.0))
+
+
+def mdl(counts: DataFrame, classes: list[str], by: tuple[str, ...] = ("att",)) -> DataFrame:
+    """(by..., cut): minimum-description-length cuts of every group, all open intervals of a level at once; see ``mdl_cuts`` for the rule.
+
+    Class counts up to each value are summed once. A level then scores every boundary from
+    them and keeps the best of each interval, an aggregate that combines before its
+    shuffle, so no task holds an attribute. An interval is known by the rows before it.
+    """
+    by = list(by)
+    if not classes:
+        return counts.select(*by, F.col("value").cast("double").alias("cut")).limit(0)
+    per = counts.groupBy(*by, "value").agg(F.array(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)) for c in classes)).alias("c"))
+    work = _running(per, by, len(classes)).withColumn("seg", F.lit(0).cast("long")).checkpoint()
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    same = lambda p: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{p}{c}")) for c in [*by, "seg"]])
+    named = lambda df, p, *rest: df.select(*(F.col(c).alias(f"{p}{c}") for c in [*by, "seg"]), *rest)
+    zeros = F.array(*(F.lit(0).cast("long") for _ in classes))
+    open_ = work.groupBy(*by, "seg").agg(F.max_by("upto", "value").alias("end")).select(*by, "seg", zeros.alias("start"), "end", F.lit(len(classes)).alias("k"))
+    found = None
+    while True:
+        at = work.join(named(open_, "_o_", "start", "end", "k"), same("_o_")).where(total(F.col("upto")) < total(F.col("end")))
+        at = at.withColumns({"left": F.zip_with("upto", "start", lambda x, y: x - y), "right": F.zip_with("end", "upto", lambda x, y: x - y)})
+        at = at.withColumns({"nl": total(F.col("left")), "nr": total(F.col("right"))})
+        at = at.withColumns({"el": _entropy(F.col("left"), F.col("nl")), "er": _entropy(F.col("right"), F.col("nr"))})
+        score = F.round((F.col("nl") * F.col("el") + F.col("nr") * F.col("er")) / (F.col("nl") + F.col("nr")), 9)
+        names = ["value", "next", "upto", "start", "end", "k", "left", "right", "nl", "nr", "el", "er"]
+        best = at.groupBy(*by, "seg").agg(F.min_by(F.struct(*names), F.struct(score, -F.col("value"))).alias("b")).select(*by, "seg", "b.*")
+        n = F.col("nl") + F.col("nr")
+        whole = F.zip_with("left", "right", lambda x, y: x + y)
+        kinds = lambda c: F.size(F.filter(c, lambda x: x > 0))
+        best = best.withColumns({"n": n, "e": _entropy(whole, n), "kl": kinds("left"), "kr": kinds("right")})
+        delta = F.log2(F.pow(F.lit(3.0), F.col("k")) - 2) - (F.col("k") * F.col("e") - F.col("kl") * F.col("el") - F.col("kr") * F.col("er"))
+        gain = F.col("e") - (F.col("nl") * F.col("el") + F.col("nr") * F.col("er")) / F.col("n")
+        splits = best.where(gain > (F.log2(F.col("n") - 1) + delta) / F.col("n")).checkpoint()
+        cuts = splits.select(*by, ((F.col("value") + F.col("next")) / 2).alias("cut"))
+        found = cuts if found is None else found.union(cuts)
+        if not splits.limit(1).count():
+            return found
+        left = splits.where("nl > 2").select(*by, "seg", "start", F.col("upto").alias("end"), F.col("kl").alias("k"))
+        right = splits.where("nr > 2").select(*by, total(F.col("upto")).alias("seg"), F.col("upto").alias("start"), "end", F.col("kr").alias("k"))
+        open_ = left.union(right).checkpoint()
+        moved = work.join(named(splits, "_s_", F.col("value").alias("_cut"), total(F.col("upto")).alias("_right")), same("_s_"))
+        work = moved.select(*by, "value", "next", "upto", F.when(F.col("value") > F.col("_cut"), F.col("_right")).otherwise(F.col("seg")).alias("seg")).checkpoint()
 
 
 def apply_cuts(df: DataFrame, cuts: DataFrame, nums: list[str]) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import chi_square, chi_square_p, information, symmetric_uncertainty
 from .bayes import AnDE, Lookup, Network, array_sum, fit_kdb, log_factor, log_prior, mi_order, softmax
 from .counts import cube, cuboid, domain_sizes, labels
-from .discretise import mdl_cuts
+from .discretise import mdl
 
 
 def _pairs(df: DataFrame) -> dict[frozenset, float]:
@@ -172,19 +170,24 @@ def fit_gaussian_kdb(train: DataFrame, cats: list[str], nums: dict[str, str], k:
     return GaussianNetwork(fit_kdb(cuboid(train, [*cats, *nums]), [*cats, *nums], k, m), cats, nums, m)
 
 
-def conditional_cuts(train: DataFrame, att: str, parents: list[str], classes: list[str], min_rows: int = 1) -> DataFrame:
-    """(parents..., cuts): MDL cuts of a number anew for each tuple of parent values; one task per tuple reads its distinct values."""
-    counts = train.where(F.col(att).isNotNull()).groupBy(*parents, F.col(att).alias("value")).agg(F.array(*(F.count_if(F.col("y") == c) for c in classes)).alias("c"))
+def conditional_cuts(train: DataFrame, att: str, parents: list[str], classes: list[str], min_rows: int = 1, backoff: bool = False) -> DataFrame:
+    """(parents..., cuts): MDL cuts of a number anew for each tuple of parent values, those of all tuples found level by level.
 
-    def fit(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("value")
-        table = np.array(t["c"].to_pylist(), dtype=float)
-        cuts = mdl_cuts(t["value"].to_numpy(), table) if table.sum() >= min_rows else []
-        cols = {p: pa.array([k.as_py()], k.type) for p, k in zip(parents, key, strict=True)}
-        return pa.table(cols | {"cuts": pa.array([cuts], pa.list_(pa.float64()))})
-
-    kinds = dict(train.dtypes)
-    return counts.groupBy(*parents).applyInArrow(fit, ", ".join(f"{p} {kinds[p]}" for p in parents) + ", cuts array<double>")
+    A tuple with fewer than ``min_rows`` known values has no cuts of its own: none at all, or
+    with ``backoff`` those of its longest prefix that has enough, in the end of the whole column.
+    """
+    depths = range(len(parents) + 1) if backoff else [len(parents)]
+    known = train.where(F.col(att).isNotNull()).select("y", F.col(att).cast("double").alias("value"), *parents)
+    entries = F.array(*(F.array(*(F.col(p).cast("string") for p in parents[:d])).cast("array<string>") for d in depths))
+    long = known.select("y", "value", F.explode(entries).alias("group"))
+    counts = long.groupBy("group", "value", "y").agg(F.count("*").alias("n"))
+    enough = counts.groupBy("group").agg(F.sum("n").alias("rows")).where(F.col("rows") >= min_rows).select("group")
+    cuts = mdl(counts.join(enough, "group", "left_semi"), classes, ("group",)).groupBy("group").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
+    cuts = enough.join(cuts, "group", "left").select("group", F.coalesce("cuts", F.array().cast("array<double>")).alias("cuts"))
+    tuples = known.select(*parents).distinct()
+    tries = tuples.select(*parents, F.posexplode(entries).alias("depth", "group")).join(cuts, "group", "left")
+    best = tries.groupBy(*parents).agg(F.max_by("cuts", F.when(F.col("cuts").isNotNull(), F.col("depth"))).alias("cuts"))
+    return best.select(*parents, F.coalesce("cuts", F.array().cast("array<double>")).alias("cuts"))
 
 
 def selective_test(errors: DataFrame) -> DataFrame:

@@ -140,10 +140,10 @@ def ln_kdb_cddisc(spark, d):
 
 @query("ln_kdb_cdram")
 def ln_kdb_cdram(spark, d):
-    """The same with a least number of rows: smaller groups keep no cuts of their own."""
+    """The same with a least number of rows: smaller groups take the cuts of the longest prefix that has enough."""
     o = B.orders_problem(spark, d)
     t = o.select(F.when(F.col("price") > 150000, "hi").otherwise("lo").alias("y"), "seg", "region", "price")
-    return S.conditional_cuts(t, "price", ["seg", "region"], ["hi", "lo"], min_rows=50)
+    return S.conditional_cuts(t, "price", ["seg", "region"], ["hi", "lo"], min_rows=50, backoff=True)
 
 
 @query("ms_binom")
