@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,49 +28,61 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.add(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables of this session's operators by their paths, so that what is read no more can go.
-_SCRATCH: set[str] = set()
+class Scratch:
+    """The tables that one piece of work has written; closing it deletes them, but for those kept."""
 
+    def __init__(self) -> None:
+        self.written: dict[str, DataFrame] = {}
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    _SCRATCH.discard(path)
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables that what is returned still reads."""
+        for df in tables:
+            self.written.pop(df._scratch_path, None)
 
+    def close(self) -> None:
+        for df in list(self.written.values()):
+            discard(df)
+        self.written.clear()
 
-def tables() -> set[str]:
-    """Paths of the tables that operators have written and not deleted."""
-    return set(_SCRATCH)
 
+#: Whose tables are being written: set by ``scratch`` for the code it encloses, in its own thread.
+_OWNER: ContextVar[Scratch | None] = ContextVar("owner", default=None)
 
-def _plain(path: str) -> str:
-    return re.sub("^file:/+", "/", path)
 
-
-def is_in(file: str, paths: set[str]) -> bool:
-    """Whether a file lies in one of the tables."""
-    return any(_plain(file).startswith(_plain(p) + "/") for p in paths)
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """Owns the tables that are materialised inside, nested ones excepted, and deletes them at the end."""
+    mine = Scratch()
+    before = _OWNER.set(mine)
+    try:
+        yield mine
+    finally:
+        _OWNER.reset(before)
+        mine.close()
 
 
-def delete_tables(spark: SparkSession, paths: set[str]) -> None:
-    for path in paths & _SCRATCH:
-        _delete(spark, path)
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    owner = _OWNER.get()
+    if owner:
+        owner.written[path] = out
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more; the caller has written all that came from them."""
     for df in tables:
-        files = df.inputFiles()
-        delete_tables(df.sparkSession, {p for p in _SCRATCH if any(is_in(f, {p}) for f in files)})
+        spark, path = df.sparkSession, df._scratch_path
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        owner = _OWNER.get()
+        if owner:
+            owner.written.pop(path, None)
 
 
 def release_memory() -> None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side
+from .common import materialise, scratch, small_side
 
 MIN_DOCS = 10
 TOP_TERMS = 10
@@ -115,10 +115,12 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     rank by item. A language in which no term is kept has distances of 0; a group that is alone in its
     language has no pairs. An empty table gives no rows. Texts are read whole, whatever their length.
     """
-    counts = materialise(term_counts(docs, text_col, lang_col, source_col), "term-counts")
-    groups = materialise(counts.select("lang", "source").distinct(), "groups")
-    by_term = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("v"))
-    kept = materialise(by_term.where(F.col("docs") >= min_docs).select("lang", "term", "v"), "kept-terms")
+    with scratch() as tables:
+        counts = materialise(term_counts(docs, text_col, lang_col, source_col), "term-counts")
+        groups = materialise(counts.select("lang", "source").distinct(), "groups")
+        by_term = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sort_array(F.collect_list(F.struct("source", "n"))).alias("v"))
+        kept = materialise(by_term.where(F.col("docs") >= min_docs).select("lang", "term", "v"), "kept-terms")
+        tables.keep(groups, kept)
     # languages are few; each has its vocabulary and the words of all its groups
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("all"))
     langs = groups.select("lang").distinct().join(of_lang, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("all", F.lit(0)).alias("all"))

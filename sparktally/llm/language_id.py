@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release_memory
+from .common import discard, materialise, release_memory
 from .vocabulary import MARK, MODEL_PATH, load
 
 #: Labelled documents of a language that fitting uses, about; taken by a hash of id and text.
@@ -196,6 +196,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             sums[r.piece, r.lang] = r.n
         probs = (sums + 0.02) / (sums.sum(axis=0) + 0.02 * none)
         probs[none] = 0
+    discard(words)
     total = sum(counts.values())
     return LanguageModel(languages, pieces, probs, np.log([counts[x] / total for x in languages]))
 

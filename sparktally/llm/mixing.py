@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks are first summed in so many bins of a source; only the bin where the target falls is sorted.
@@ -63,41 +63,44 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame, seed: str = "mix", cap: in
     ``sizes`` has doc_id, source, size, weight; ``targets`` has source and target. With
     unequal document weights the scale is found by capping and dealing again.
     """
-    key = F.col("source").eqNullSafe(F.col("_s"))
-    plan = sizes.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("mass"), F.max("weight").alias("top"))
-    t = targets.select(F.col("source").alias("_s"), "target", "source_size")
-    plan = plan.join(t, key).select("source", "source_size", "target", "top", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0).alias("scale"))
-    plan = materialise(plan, "mixplan")
-    # every round caps more of the distinct weights, so this ends
-    while plan.where(F.col("scale") * F.col("top") > cap + 1e-9).limit(1).count():
-        p = plan.select(F.col("source").alias("_s"), "scale", "target")
-        over = F.col("scale") * F.col("weight") >= cap
-        again = sizes.join(p, key).groupBy("source").agg(
-            F.sum(F.when(over, F.col("size")).otherwise(0)).alias("full"), F.sum(F.when(~over, F.col("weight") * F.col("size")).otherwise(0.0)).alias("mass"), F.max(F.when(~over, F.col("weight"))).alias("top")
-        )
-        t = plan.select(F.col("source").alias("_s"), "source_size", "target", F.col("scale").alias("_scale"))
-        plan = materialise(
-            again.join(t, key).select("source", "source_size", "target", F.coalesce("top", F.lit(0.0)).alias("top"), F.when(F.col("mass") > 0, (F.col("target") - cap * F.col("full")) / F.col("mass")).otherwise(F.col("_scale")).alias("scale")), "mixplan"
-        )
-    ranked = materialise(_ranked(sizes, plan, seed, cap), "mixrank")
-    need = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    need = need.join(plan.select(F.col("source").alias("_s"), "target"), key).select("source", (F.col("target") - F.col("sure")).alias("need"))
-    bins = ranked.where("p > 0").groupBy("source", "bin").agg(F.sum("size").alias("size"))
-    w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("upto", F.sum("size").over(w))
-    n = need.select(F.col("source").alias("_s"), "need")
-    bins = bins.join(n, key).groupBy("source", "need").agg(F.min(F.when(F.col("upto") >= F.col("need"), F.struct("bin", (F.col("upto") - F.col("size")).alias("under")))).alias("at"))
-    # bins under the crossing one are taken whole; the crossing one is sorted
-    b = bins.select(F.col("source").alias("_s"), "need", F.coalesce(F.col("at.bin"), F.lit(BINS)).alias("at_bin"), F.col("at.under").alias("under"))
-    inside = ranked.where("p > 0").join(b, key).where(F.col("bin") == F.col("at_bin"))
-    inside = inside.groupBy("source", "q", F.col("doc_id"), "need", "under").agg(F.sum("size").alias("size"))
-    w = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("upto", F.col("under") + F.sum("size").over(w))
-    # a document is in if the middle of its words lies before the target
-    last = inside.where(2 * F.col("upto") - F.col("size") < 2 * F.col("need")).groupBy("source").agg(F.max(F.struct("q", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("last"))
-    l = last.select(F.col("source").alias("_s"), "last")
-    full = plan.join(b.select("_s", "at_bin"), key, "left").drop("_s").join(l, key, "left").drop("_s")
-    return materialise(full.select("source", "source_size", "target", "scale", "at_bin", "last"), "mixplan")
+    with scratch() as tables:
+        key = F.col("source").eqNullSafe(F.col("_s"))
+        plan = sizes.groupBy("source").agg(F.sum(F.col("weight") * F.col("size")).alias("mass"), F.max("weight").alias("top"))
+        t = targets.select(F.col("source").alias("_s"), "target", "source_size")
+        plan = plan.join(t, key).select("source", "source_size", "target", "top", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0).alias("scale"))
+        plan = materialise(plan, "mixplan")
+        # every round caps more of the distinct weights, so this ends
+        while plan.where(F.col("scale") * F.col("top") > cap + 1e-9).limit(1).count():
+            p = plan.select(F.col("source").alias("_s"), "scale", "target")
+            over = F.col("scale") * F.col("weight") >= cap
+            again = sizes.join(p, key).groupBy("source").agg(
+                F.sum(F.when(over, F.col("size")).otherwise(0)).alias("full"), F.sum(F.when(~over, F.col("weight") * F.col("size")).otherwise(0.0)).alias("mass"), F.max(F.when(~over, F.col("weight"))).alias("top")
+            )
+            t = plan.select(F.col("source").alias("_s"), "source_size", "target", F.col("scale").alias("_scale"))
+            plan = materialise(
+                again.join(t, key).select("source", "source_size", "target", F.coalesce("top", F.lit(0.0)).alias("top"), F.when(F.col("mass") > 0, (F.col("target") - cap * F.col("full")) / F.col("mass")).otherwise(F.col("_scale")).alias("scale")), "mixplan"
+            )
+        ranked = materialise(_ranked(sizes, plan, seed, cap), "mixrank")
+        need = ranked.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"))
+        need = need.join(plan.select(F.col("source").alias("_s"), "target"), key).select("source", (F.col("target") - F.col("sure")).alias("need"))
+        bins = ranked.where("p > 0").groupBy("source", "bin").agg(F.sum("size").alias("size"))
+        w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = bins.withColumn("upto", F.sum("size").over(w))
+        n = need.select(F.col("source").alias("_s"), "need")
+        bins = bins.join(n, key).groupBy("source", "need").agg(F.min(F.when(F.col("upto") >= F.col("need"), F.struct("bin", (F.col("upto") - F.col("size")).alias("under")))).alias("at"))
+        # bins under the crossing one are taken whole; the crossing one is sorted
+        b = bins.select(F.col("source").alias("_s"), "need", F.coalesce(F.col("at.bin"), F.lit(BINS)).alias("at_bin"), F.col("at.under").alias("under"))
+        inside = ranked.where("p > 0").join(b, key).where(F.col("bin") == F.col("at_bin"))
+        inside = inside.groupBy("source", "q", F.col("doc_id"), "need", "under").agg(F.sum("size").alias("size"))
+        w = Window.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = inside.withColumn("upto", F.col("under") + F.sum("size").over(w))
+        # a document is in if the middle of its words lies before the target
+        last = inside.where(2 * F.col("upto") - F.col("size") < 2 * F.col("need")).groupBy("source").agg(F.max(F.struct("q", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("last"))
+        l = last.select(F.col("source").alias("_s"), "last")
+        full = plan.join(b.select("_s", "at_bin"), key, "left").drop("_s").join(l, key, "left").drop("_s")
+        done = materialise(full.select("source", "source_size", "target", "scale", "at_bin", "last"), "mixplan")
+        tables.keep(done)
+    return done
 
 
 def _expected(scale: Column, weight: Column, cap: int) -> Column:
@@ -139,8 +142,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.coalesce(weight, F.lit(0.0)).alias("weight"))
     sizes = materialise(sizes, "mixsizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialise(capped_targets(cyclic_weights(sources, weights)), "mixtargets")
-    return sizes, mixing_plan(sizes, targets, seed)
+    with scratch():
+        targets = materialise(capped_targets(cyclic_weights(sources, weights)), "mixtargets")
+        return sizes, mixing_plan(sizes, targets, seed)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weight_col: str | None = None, seed: str = "mix", **options) -> DataFrame:
@@ -149,7 +153,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     Null ids, null sources and texts, repeated rows and empty tables fare as in ``mix``; an
     empty table comes back empty, and so does one without words.
     """
-    _, plan = mix(docs, id_col=id_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
+    sizes, plan = mix(docs, id_col=id_col, source_col=source_col, weight_col=weight_col, seed=seed, **options)
+    discard(sizes)
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), weight.alias("weight"), F.struct("*").alias("row"))
     d = with_copies(d, plan, seed).where("copies > 0")

@@ -107,8 +107,8 @@ def _rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), ROWS.types)], schema=ROWS)
 
 
-def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(settled, open) of rows(core, hull, rid, at, x1, x2): repeated hulls; undecided rows with their witnesses.
+def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(settled, open, the table of both) of rows(core, hull, rid, at, x1, x2): repeated hulls; undecided rows with their witnesses.
 
     Counts are combined before each shuffle. What is joined by core was written before, so that
     Spark may split a hot core's rows, or broadcast the other side where its count allows it.
@@ -123,7 +123,7 @@ def _ranked(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     go = F.col("mixed") & ((F.col("n") == 1) | (F.col("one") == F.struct("rid", "x1")))
     told = materialise(told.where((F.col("n") > 1) | go).select("rid", "at", "x1", "x2", (F.col("n") > 1).alias("settled"), go.alias("open")), name + "-told")
     discard(alive, hulls, mixed)
-    return told.where("settled"), told.where("open")
+    return told.where("settled"), told.where("open"), told
 
 
 def _lists(rows: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     long_enough = src.where(F.octet_length("text") >= window)
     rows = materialise(long_enough.select("rid", "text").mapInArrow(sample, ROWS_DDL), "grams")
-    settled1, open1 = _ranked(rows, "grams")
+    settled1, open1, told1 = _ranked(rows, "grams")
     touched = settled1.select("rid").union(open1.select("rid")).distinct()
     texts = materialise(long_enough.join(small_side(touched), "rid", "left_semi").select("rid", "doc_id", "text"), "texts")
     bodies = texts.select("rid", "text")
@@ -191,13 +191,13 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from _rows(found())
 
     rows2 = materialise(bodies.join(_lists(open1), "rid").select("rid", "text", "todo").mapInArrow(blocks, ROWS_DDL), "blocks")
-    settled2, open2 = _ranked(rows2, "blocks")
+    settled2, open2, told2 = _ranked(rows2, "blocks")
     rows3 = materialise(bodies.join(_lists(open2), "rid").select("rid", "text", "todo").mapInArrow(single, ROWS_DDL), "windows")
     again = rows3.groupBy("core", "hull").agg(F.count("*").alias("n")).where("n > 1").select("core", "hull")
     settled3 = rows3.join(again, ["core", "hull"], "left_semi")
     spans = settled1.select("rid", "x1", "x2").union(settled2.select("rid", "x1", "x2")).union(settled3.select("rid", "x1", "x2"))
     spans = materialise(spans.groupBy("rid").agg(F.collect_set(F.struct("x1", "x2")).alias("spans")), "spans")
-    discard(settled1, settled2, rows3, texts)
+    discard(told1, told2, rows3, texts)
     size = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]

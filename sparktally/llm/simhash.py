@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, discard, materialise, scratch
 
 SHINGLE = 3
 SEED = 42
@@ -108,11 +108,14 @@ def links(points: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -
 
 def components(prints: DataFrame) -> DataFrame:
     """(fp, root, component_id) of ``prints(doc_id, fp)``: the least fingerprint and the smallest id among all documents reachable."""
-    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = connected_components(links(points)).select(F.col("node").alias("fp"), "root")
-    rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    with scratch() as tables:
+        points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+        roots = connected_components(links(points)).select(F.col("node").alias("fp"), "root")
+        rooted = points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        found = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+        tables.keep(found)
+    return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +141,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # nulls do not change a hash, so where they are is hashed as well
     row = F.xxhash64(*hashed, *(F.col(c).isNull() for c in hashed))
     d = docs.withColumns({"_th": F.xxhash64(F.col(text_col)), "_row": row})
-    prints = materialise(fingerprints(d, id_col, text_col, ("_th", "_row")), "fingerprints")
-    roots = components(prints).select("fp", "root")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th", "_row")
-    keep = prints.join(roots, "fp").groupBy("root").agg(F.min(place).alias("first")).select("first._th", "first._row")
+    with scratch() as tables:
+        prints = materialise(fingerprints(d, id_col, text_col, ("_th", "_row")), "fingerprints")
+        of = components(prints)
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_th", "_row")
+        keep = prints.join(of.select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("first")).select("first._th", "first._row")
+        keep = materialise(keep, "kept")
+        tables.keep(keep)
+    discard(of)
     return d.join(keep, ["_th", "_row"], "left_semi").dropDuplicates(["_th", "_row"]).select(*cols)
