@@ -188,13 +188,3 @@ def conditional_cuts(train: DataFrame, att: str, parents: list[str], classes: li
     tries = tuples.select(*parents, F.posexplode(entries).alias("depth", "group")).join(cuts, "group", "left")
     best = tries.groupBy(*parents).agg(F.max_by("cuts", F.when(F.col("cuts").isNotNull(), F.col("depth"))).alias("cuts"))
     return best.select(*parents, F.coalesce("cuts", F.array().cast("array<double>")).alias("cuts"))
-
-
-def selective_test(errors: DataFrame) -> DataFrame:
-    """(prefix, better, worse, p): sign test of each prefix against the full model over rows (prefix, id, error)."""
-    from ..functions.measures import binomial_tail
-
-    full = errors.groupBy("id").agg(F.max_by("error", "prefix").alias("full"))
-    t = errors.join(full, "id").groupBy("prefix").agg(F.count_if(F.col("error") < F.col("full")).alias("better"), F.count_if(F.col("error") > F.col("full")).alias("worse"))
-    tail = F.udf(lambda k, n: binomial_tail(int(k), int(n)), "double")
-    return t.withColumn("p", tail("better", F.col("better") + F.col("worse")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import bayes as N
 from ..operators import counts as C
 from ..operators import elimination as V
+from ..operators import prefixes as X
 from ..operators import selection as S
 from ..sources import bindings as B
 from .cubes_and_measures import LA, LINES, line_cells, order_cells
@@ -101,19 +102,16 @@ learner("ln_kdb_ext", lambda c: (lambda keep: N.fit_kdb(c, keep, 2))(S.chi_squar
 learner("ln_kdb_fcbf", lambda c: (lambda keep: N.fit_kdb(c, keep, 1))(S.correlation_filter(c, OA)))
 
 
+for _name, _options in {"mcc": {"objective": "mcc"}, "weighted": {"objective": "weighted"}, "test": {"test": 0.05}, "k": {"links": "best"}, "links": {"links": "each", "objective": "mcc"}}.items():
+    learner(f"ln_kdb_sel2_{_name}", lambda c, o=_options: X.fit_prefix(c, OA, 2, **o))
+
+
 @query("ln_kdb_sel2")
 def ln_kdb_sel2(spark, d):
-    """Sign test of every attribute prefix of a kDB against the full model, errors of the training cells."""
+    """Leave-one-out confusion of every attribute prefix under every number of links, with the rows on which it beats the full model."""
     cells = order_cells(spark, d)
-    net, classes, sizes = N.fit_kdb(cells, OA, 1), C.labels(cells), C.domain_sizes(cells, OA)
-    out = None
-    for k in range(len(net.atts) + 1):
-        part = N.Network(net.atts[:k], {a: net.parents[a] for a in net.atts[:k]})
-        scored = part.score(cells, N.Lookup(cells, classes), sizes)
-        true = F.array_position(F.array(*map(F.lit, classes)), F.col("y")).cast("int")
-        one = scored.select(F.lit(k).alias("prefix"), F.concat_ws("|", *OA, "y").alias("id"), F.round(1 - F.element_at("p", true), 9).alias("error"))
-        out = one if out is None else out.union(one)
-    return S.selective_test(out).withColumn("p", F.round("p", 6))
+    t = X.prefix_confusion(cells, N.fit_kdb(cells, OA, 2), [0, 1, 2])
+    return t.select("links", "prefix", "y", "pred", F.col("n").cast("long").alias("n"), F.round("sse", 6).alias("sse"), "better", "worse")
 
 
 def _binned(spark, d):
