@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +70,12 @@ def gamma_tail(a: float, x: float) -> float:
 
 
 def chi_square_p(stats: DataFrame) -> DataFrame:
-    """Adds ``p`` to rows of chi2 and df; df 0 gives 1. A row per table tested, so a small helper will do."""
-    tail = F.udf(lambda x, df: 1.0 if df == 0 else gamma_tail(df / 2, x / 2), "double")
+    """Adds ``p`` to rows of chi2 and df; df 0 gives 1. A row per table tested, evaluated a batch at a time."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if d == 0 else gamma_tail(d / 2, v / 2) for v, d in zip(x, df, strict=True)], dtype=float)
+
     return stats.withColumn("p", tail("chi2", "df"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -57,6 +58,89 @@ def chi_square_select(cells: DataFrame, atts: list[str], level: float = 0.05) ->
     return [a for a in atts if p[a] <= level / len(atts)] or [min(atts, key=lambda a: (p[a], atts.index(a)))]
 
 
+def holm(p: dict, level: float = 0.05) -> set:
+    """The hypotheses that Holm's step-down rejects: the least p against level / m, the next against level / (m - 1), up to the first that is not."""
+    out = set()
+    for i, key in enumerate(sorted(p, key=lambda k: (p[k], str(k)))):
+        if p[key] > level / (len(p) - i):
+            break
+        out.add(key)
+    return out
+
+
+def dependent(p: dict, how: str | None, level: float = 0.05) -> set:
+    """Keys whose p passes: each by itself, by Holm's step-down, or all where there is no test."""
+    if how is None:
+        return set(p)
+    return holm(p, level) if how == "holm" else {k for k, v in p.items() if v <= level}
+
+
+def _conditional_triples(cells: DataFrame, atts: list[str]) -> dict[tuple[str, str, str], float]:
+    """(a, b, c) -> CMI(a; b | c, y), both ways for a and b."""
+    three, by, out = cube(cells, atts, 3), ["a1", "a2", "a3"], {}
+    for x, y, z in ((1, 2, 3), (1, 3, 2), (2, 3, 1)):
+        for r in information(three, by, [f"v{x}"], [f"v{y}"], (f"v{z}", "y")).collect():
+            a, b, c = r[f"a{x}"], r[f"a{y}"], r[f"a{z}"]
+            out[a, b, c] = out[b, a, c] = round(r["value"], 9)
+    return out
+
+
+def fit_extended_kdb(cells: DataFrame, atts: list[str], k: int = 1, order: str = "mi", rank: str = "mi", parents: str = "cmi", tested: str | None = None, parents_tested: str | None = None, level: float = 0.05, backoff: int | None = None, seed: int = 0, m: float = 1.0) -> Network:
+    """kDB with a choice of order, parents and tests; what the driver holds is one number for each pair (or triple) of attributes.
+
+    order: "mi" by ``rank`` (mi or su) with the class; "value" by the sum of an attribute's CMI with
+    all others; "cmi" by the least CMI(a; y | chosen), greedily; "random". parents, of the
+    attributes before: "cmi" the k of most CMI(a; b | y); "mcmi" the first likewise, then by the
+    least CMI(a; b | parent, y) over the parents so far, while that is above 0; "random". ``tested`` drops attributes
+    that do not depend on the class by a chi-square test, ``parents_tested`` candidates that do
+    not depend on the attribute: "each" at ``level``, or "holm" by step-down over the tests of
+    one kind (for parents those of one attribute). ``backoff`` is the least count of a parent tuple.
+    """
+    rng = random.Random(seed)
+    place = {a: i for i, a in enumerate(atts)}
+    two = cube(cells, atts, 2) if len(atts) > 1 else None
+    cmi = _pairs(information(two, ["a1", "a2"], ["v1"], ["v2"], ("y",))) if two else {}
+    link = lambda a, b: cmi[frozenset((a, b))]
+    if order == "mi":
+        if rank == "su":
+            value = {r.a1: round(r.value or 0.0, 9) for r in symmetric_uncertainty(cube(cells, atts, 1), ["a1"], ["v1"], ["y"]).collect()}
+        else:
+            value = _relevance(cells, atts)
+        ranked = sorted(atts, key=lambda a: (-value[a], place[a]))
+    elif order == "value":
+        ranked = sorted(atts, key=lambda a: (-round(sum(link(a, b) for b in atts if b != a), 9), place[a]))
+    elif order == "cmi":
+        ranked = rank_attributes(cells, atts, "mmcmi")
+    else:
+        ranked = rng.sample(atts, len(atts))
+    if tested:
+        p = {r["a1"]: r["p"] for r in chi_square_p(chi_square(cube(cells, atts, 1), ["a1"], "v1", "y").where("df > 0")).collect()}
+        good = dependent(p, tested, level)
+        ranked = [a for a in ranked if a in good]
+    p = {}
+    if parents_tested and two:
+        p = {frozenset((r["a1"], r["a2"])): r["p"] for r in chi_square_p(chi_square(two, ["a1", "a2"], "v1", "v2")).collect()}
+    triples = _conditional_triples(cells, atts) if parents == "mcmi" and k > 1 and len(atts) > 2 else {}
+    chosen: dict[str, list[str]] = {}
+    for i, a in enumerate(ranked):
+        able = dependent({b: p.get(frozenset((a, b)), 1.0) for b in ranked[:i]}, parents_tested, level)
+        able = [b for b in ranked[:i] if b in able]
+        if parents == "random":
+            chosen[a] = rng.sample(able, min(k, len(able)))
+            continue
+        by_link = sorted(able, key=lambda b: (-link(a, b), ranked.index(b)))
+        mine = by_link[: 1 if parents == "mcmi" else k]
+        while parents == "mcmi" and 0 < len(mine) < k:
+            rest = [b for b in able if b not in mine]
+            least = {b: min(triples[a, b, c] for c in mine) for b in rest}
+            best = max(rest, key=lambda b: (least[b], -ranked.index(b)), default=None)
+            if best is None or least[best] <= 0:
+                break
+            mine.append(best)
+        chosen[a] = mine
+    return Network(ranked, chosen, m, backoff)
+
+
 def correlation_filter(cells: DataFrame, atts: list[str]) -> list[str]:
     """Best first by SU with the class; an attribute goes when a better one is as close to it as the class is."""
     su = {r.a1: round(r.value or 0.0, 9) for r in symmetric_uncertainty(cube(cells, atts, 1), ["a1"], ["v1"], ["y"]).collect()}

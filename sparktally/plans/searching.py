@@ -98,7 +98,17 @@ def sub_bse_errors(spark, d):
 
 
 learner("ln_aode_pw", lambda c: N.AnDE(OA, 1, weights=N.mi_weights(c, OA, 1)))
-learner("ln_kdb_ext", lambda c: (lambda keep: N.fit_kdb(c, keep, 2))(S.chi_square_select(c, OA)))
+EXTENDED = {
+    "ln_kdb_ext": {"tested": "holm", "parents_tested": "holm", "backoff": 5},
+    "ln_kdb_ext_su": {"rank": "su", "tested": "each"},
+    "ln_kdb_ext_value": {"order": "value", "parents_tested": "each"},
+    "ln_kdb_ext_cmi": {"order": "cmi", "backoff": 20},
+    "ln_kdb_ext_mcmi": {"parents": "mcmi"},
+    "ln_kdb_ext_random": {"order": "random", "parents": "random", "seed": 3},
+}
+for _name, _options in EXTENDED.items():
+    learner(_name, lambda c, o=_options: S.fit_extended_kdb(c, OA, 2, **o))
+learner("ln_kdb_backoff", lambda c: N.fit_kdb(c, OA, 3, backoff=1))
 learner("ln_kdb_fcbf", lambda c: (lambda keep: N.fit_kdb(c, keep, 1))(S.correlation_filter(c, OA)))
 
 
