@@ -48,6 +48,22 @@ def src_pdata(spark, d):
     return R.parse_delimited(_part_lines(spark, d), _part_schema(spark, d))
 
 
+@query("src_declared", "SELECT p_type, p_brand, CAST(p_size AS DOUBLE) AS p_size, CASE WHEN p_partkey % 17 <> 0 THEN round(p_retailprice, 2) END AS p_retailprice FROM part")
+def src_declared(spark, d):
+    """The parts written by the data source and read back by ranges of bytes."""
+    from uuid import uuid4
+
+    from ..operators.session import shared_dir
+    from ..sources import datasource
+
+    datasource.register(spark)
+    schema, path = P.format_pmeta(_part_schema(spark, d)), f"{shared_dir(spark)}/declared-{uuid4().hex}"
+    rows = R.parse_delimited(_part_lines(spark, d), _part_schema(spark, d))
+    names = P.parse_pmeta(schema).fieldNames()
+    rows.select(*names).write.format("declared").option("declaration", schema).mode("append").save(path)
+    return spark.read.format("declared").option("declaration", schema).option("bytes", 1 << 16).load(path).select("p_type", "p_brand", "p_size", "p_retailprice")
+
+
 @query("src_libsvm", "SELECT event_type AS class, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE round(value, 4) END AS DOUBLE) AS a_1, 0.0::DOUBLE AS a_2, CAST(user_id AS DOUBLE) AS a_3 FROM events")
 def src_libsvm(spark, d):
     e = B.table(spark, d, "events")
