@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import product
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import shared_dir
+from .session import shared_dir, small_side
+
+#: Ranges into which a number's values are dealt; cuts inside a range are bounded by trying this many classes at most.
+BINS, VERTICES = 1024, 6
 
 
 @dataclass
@@ -49,8 +54,70 @@ def _entropy(counts: list[Column], n: Column) -> Column:
     return out
 
 
+def _with_bins(rows: DataFrame, nums: list[str]) -> DataFrame:
+    """``rows`` with ``_bin_`` columns: the range, of BINS about equally full ones, in which each number lies."""
+    for c in nums:
+        cuts = sorted({float(x) for x in rows.select(F.col(c).cast("double").alias(c)).approxQuantile(c, [i / BINS for i in range(1, BINS)], 0.25 / BINS) if x == x})
+        splits = [float("-inf"), *(x for x in cuts if abs(x) != float("inf")), float("inf")]
+        rows = rows.withColumn("_value", F.col(c).cast("double"))
+        rows = Bucketizer(splits=splits, inputCol="_value", outputCol=f"_bin_{c}", handleInvalid="keep").transform(rows).drop("_value").withColumn(f"_bin_{c}", F.col(f"_bin_{c}").cast("int"))
+    return rows
+
+
+def _numeric(rows: DataFrame, nums: list[str], y: list[Column]) -> DataFrame:
+    """(node, att, cut, gain, info): the best cut of every number in every open node, of equals the least.
+
+    Class counts of ranges of values come first, so cuts between ranges are scored from a small
+    table. Left entropies are concave in the counts, so the best that a cut inside a range
+    could do lies where each class is wholly left or right of it; only the values of ranges
+    that could still win are sorted, each range for itself. No task holds a number's values.
+    """
+    ids = range(len(y))
+    entry = lambda c: F.struct(F.lit(c).alias("att"), F.col(c).cast("double").alias("val"), F.col(f"_bin_{c}").alias("bin"))
+    long = rows.select("node", "y", "n", F.explode(F.array(*map(entry, nums))).alias("e")).select("node", "y", "n", "e.*").where("val is not null")
+    per = [c.alias(f"c{i}") for i, c in enumerate(y)]
+    t = long.groupBy("node", "att", "bin").agg(*per, F.min("val").alias("low"), F.max("val").alias("val")).checkpoint()
+    over = Window.partitionBy("node", "att")
+    w = over.orderBy("bin")
+    t = t.withColumn("next", F.lead("low").over(w)).withColumns({k: v for i in ids for k, v in ((f"l{i}", F.sum(f"c{i}").over(w.rowsBetween(Window.unboundedPreceding, 0))), (f"a{i}", F.sum(f"c{i}").over(over)))})
+    left, whole = [F.col(f"l{i}") for i in ids], [F.col(f"a{i}") for i in ids]
+    total = lambda x: sum(x[1:], x[0])
+
+    def gain(left: list[Column]) -> Column:
+        right = [a - b for a, b in zip(whole, left, strict=True)]
+        nl, nn = total(left), total(whole)
+        return _entropy(whole, nn) - (nl * _entropy(left, nl) + (nn - nl) * _entropy(right, nn - nl)) / nn
+
+    def scored(t: DataFrame) -> DataFrame:
+        nl, nn = total(left), total(whole)
+        return t.where("next is not null").select("node", "att", ((F.col("val") + F.col("next")) / 2).alias("cut"), gain(left).alias("gain"), _entropy([nl, nn - nl], nn).alias("info"))
+
+    # the cut with most gain stands for its attribute
+    best = lambda t: t.groupBy("node", "att").agg(F.max_by(F.struct("cut", "gain", "info"), F.struct(F.round("gain", 9), -F.col("cut"))).alias("b")).select("node", "att", "b.*")
+    between = best(scored(t))
+    inside = t.where("low < val")
+    if len(y) <= VERTICES:
+        corners = F.explode(F.array(*(F.array(*map(F.lit, corner)) for corner in product((0, 1), repeat=len(y))))).alias("corner")
+        ends = inside.select("node", "att", "bin", *whole, *(F.col(f"l{i}") - F.col(f"c{i}") for i in ids), *(f"c{i}" for i in ids), corners)
+        ends = ends.toDF("node", "att", "bin", *(f"a{i}" for i in ids), *(f"b{i}" for i in ids), *(f"c{i}" for i in ids), "corner")
+        # an empty side has an entropy of null: no gain
+        most = ends.groupBy("node", "att", "bin").agg(F.max(gain([F.col(f"b{i}") + F.col(f"c{i}") * F.get("corner", F.lit(i)) for i in ids])).alias("most"))
+        rival = most.join(F.broadcast(between.select("node", "att", F.col("gain").alias("known"))), ["node", "att"], "left")
+        rival = rival.where(F.coalesce("most", F.lit(0.0)) >= F.coalesce("known", F.lit(-1.0)) - 1e-8).select("node", "att", "bin")
+        inside = inside.join(rival, ["node", "att", "bin"], "left_semi")
+    open_ = inside.select("node", "att", "bin", *(F.col(f"l{i}") - F.col(f"c{i}") for i in ids), *whole)
+    open_ = open_.toDF("node", "att", "bin", *(f"b{i}" for i in ids), *(f"a{i}" for i in ids)).checkpoint()
+    if not open_.limit(1).count():
+        return between
+    fine = long.join(small_side(open_.select("node", "att", "bin")), ["node", "att", "bin"], "left_semi")
+    fine = fine.groupBy("node", "att", "bin", "val").agg(*per).join(small_side(open_), ["node", "att", "bin"])
+    w = Window.partitionBy("node", "att", "bin").orderBy("val")
+    fine = fine.withColumn("next", F.lead("val").over(w)).withColumns({f"l{i}": F.col(f"b{i}") + F.sum(f"c{i}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for i in ids})
+    return best(between.unionByName(best(scored(fine))))
+
+
 def _candidates(rows: DataFrame, cats: list[str], nums: list[str], classes: list[str]) -> DataFrame:
-    """(node, att, cut, gain, split information) of every possible split of every open node."""
+    """(node, att, cut, gain, split information) of every possible split of every open node; numbers come with their ranges, see ``_with_bins``."""
     y = [F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)) for c in classes]
     ids = range(len(classes))
     out = None
@@ -62,20 +129,7 @@ def _candidates(rows: DataFrame, cats: list[str], nums: list[str], classes: list
         n = F.col("nn")
         out = t.select("node", "att", F.lit(None).cast("double").alias("cut"), (_entropy([F.col(f"c{i}") for i in ids], n) - F.col("rest") / n).alias("gain"), (F.log2(n) + F.col("iv") / n).alias("info"))
     if nums:
-        long = rows.select("node", "y", "n", F.explode(F.array(*(F.struct(F.lit(a).alias("att"), F.col(a).cast("double").alias("val")) for a in nums))).alias("e")).where("e.val is not null")
-        t = long.groupBy("node", "e.att", "e.val").agg(*(c.alias(f"c{i}") for i, c in enumerate(y)))
-        w = Window.partitionBy("node", "att").orderBy("val")
-        run, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("node", "att")
-        t = t.withColumn("next", F.lead("val").over(w)).withColumns({k: v for i in ids for k, v in ((f"l{i}", F.sum(f"c{i}").over(run)), (f"a{i}", F.sum(f"c{i}").over(every)))})
-        left, whole = [F.col(f"l{i}") for i in ids], [F.col(f"a{i}") for i in ids]
-        right = [a - b for a, b in zip(whole, left, strict=True)]
-        nl, nn = sum(left[1:], left[0]), sum(whole[1:], whole[0])
-        nr = nn - nl
-        t = t.where("next is not null")
-        gain = _entropy(whole, nn) - (nl * _entropy(left, nl) + nr * _entropy(right, nr)) / nn
-        t = t.select("node", "att", ((F.col("val") + F.col("next")) / 2).alias("cut"), gain.alias("gain"), _entropy([nl, nr], nn).alias("info"))
-        # the cut with most gain stands for its attribute
-        best = t.groupBy("node", "att").agg(F.max_by(F.struct("cut", "gain", "info"), F.struct(F.round("gain", 9), -F.col("cut"))).alias("b")).select("node", "att", "b.*")
+        best = _numeric(rows, nums, y)
         out = best if out is None else out.unionByName(best)
     return out
 
@@ -87,7 +141,9 @@ def fit_tree(cells: DataFrame, cats: list[str], nums: list[str], classes: list[s
     each node sees that many attributes only, chosen by a hash of node and attribute.
     """
     shared_dir(cells.sparkSession)
-    tree, rows = Tree(classes, m=m), cells.withColumn("node", F.lit(""))
+    tree = Tree(classes, m=m)
+    # read once: every level starts from a checkpoint
+    rows = _with_bins(cells.select(*cats, *nums, "y", "n").checkpoint(), nums).withColumn("node", F.lit(""))
     per = F.array(*(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)) for c in classes))
     fresh: dict[str, tuple[str, float | None]] = {}
     for depth in range(max_depth + 1):
