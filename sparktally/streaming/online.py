@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator, MutableMapping
 
@@ -21,6 +22,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.bayes import AnDE
 from ..operators.counts import cuboid, domain_sizes, labels
 from ..operators.evaluate import prequential_members
+from ..operators.sampling import ranges
+from ..operators.session import shared_dir
+
+
+#: Rows of a stretch of a stream that one task goes through in order.
+STRETCH_ROWS = 500_000
 
 
 class SlidingBins:
@@ -357,10 +364,43 @@ def member_weights(df: DataFrame, atts: list[str], classes: list[str], sizes: di
     return in_order(given, make, "part long, seq long, y string, pred string, error int, weights array<double>")
 
 
+def _pass_on(stretch: DataFrame, seq: str, shape: tuple[int, int], state: tuple[list[float] | None, int], start: int, own: bool) -> tuple[list[float] | None, int]:
+    """(weights, rows seen) after the rows of a stretch, in order; only the last state leaves the task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = MemberWeights(*shape, start)
+        weights.seen = state[1]
+        if state[0] is not None:
+            weights.w = np.array(state[0])
+        for b in batches:
+            logs = b.column("logs").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, *shape)
+            for table, at in zip(logs, b.column("at").to_pylist(), strict=True):
+                weights.step(table, at, own)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.w.tolist()], pa.list_(pa.float64())), pa.array([weights.seen], pa.int64())], names=["weights", "seen"])
+
+    last = stretch.select(seq, "at", "logs").coalesce(1).sortWithinPartitions(seq).mapInArrow(run, "weights array<double>, seen long").first()
+    return (last.weights, last.seen) if last else state
+
+
 def fit_weighted_aode(df: DataFrame, atts: list[str], seq: str = "id", start: int = 100, own: bool = False, m: float = 1.0) -> AnDE:
-    """AODE with the weights that its members have after the last row; the whole table is one ordered stream."""
-    cells = cuboid(df, atts)
+    """AODE with the weights that its members have after the last row; the whole table is one ordered stream.
+
+    Members' logs are computed all over the cluster and stored by stretches of the stream. The
+    stretches are gone through one after another, each by a task that reads only its own
+    rows; what is handed on is a number per member.
+    """
+    spark, cells = df.sparkSession, cuboid(df, atts)
     classes, sizes = labels(cells), domain_sizes(cells, atts)
-    one = df.select(F.lit(0).cast("long").alias("part"), F.col(seq).alias("seq"), "y", *atts)
-    last = member_weights(one, atts, classes, sizes, start=start, own=own, m=m).agg(F.max_by("weights", "seq").alias("w")).first()
-    return AnDE(atts, 1, m, weights={frozenset((a,)): w for a, w in zip(atts, last.w, strict=True)})
+    one = df.select(F.col(seq).cast("long").alias("seq"), "y", *atts)
+    n = one.count() // STRETCH_ROWS + 1
+    logs = prequential_members(one, atts, classes, sizes, "seq", m=m, own=own).withColumn("stretch", ranges(one, "seq", n))
+    path = f"{shared_dir(spark)}/tables/members-{uuid.uuid4().hex}"
+    logs.repartitionByRange(n, "stretch").write.partitionBy("stretch").parquet(path)
+    stored = spark.read.schema(logs.schema).parquet(path)
+    state: tuple[list[float] | None, int] = (None, 0)
+    for i in range(n):
+        state = _pass_on(stored.where(F.col("stretch") == i), "seq", (len(atts), len(classes)), state, start, own)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    weights = state[0] or [1.0 / len(atts)] * len(atts)
+    return AnDE(atts, 1, m, weights={frozenset((a,)): w for a, w in zip(atts, weights, strict=True)})

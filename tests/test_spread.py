@@ -3,12 +3,14 @@
 import random
 
 import pytest
-from pyspark.sql import DataFrame
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
+from sparktally.operators import counts as C
 from sparktally.operators import discretise as D
 from sparktally.operators import sampling as P
 from sparktally.operators import trees as R
+from sparktally.streaming import online as O
 
 
 @pytest.fixture
@@ -37,7 +39,13 @@ def numbers(spark, n=400):
 
 
 def test_mdl_leaves_values_in_their_ranges(spark, plans):
-    D.mdl(D.value_counts(numbers(spark), ["x", "z"]), ["hi", "lo"]).collect()
+    # as tables are when they are too large for Spark to broadcast them by itself
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        D.mdl(D.value_counts(numbers(spark), ["x", "z"]), ["hi", "lo"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert not [p for p in plans if "SortMergeJoin" in p and "_o_seg" in p or "SortMergeJoin" in p and "_s_seg" in p]
 
 
@@ -75,3 +83,20 @@ def test_copies_hash_once(spark):
     every = spark.range(1000).withColumn("bag", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("u", u)
     want = every.withColumn("times", F.size(F.filter(steps, lambda s: F.col("u") >= s))).where("times > 0").select("bag", "id", "times")
     assert sorted(map(tuple, drawn.select("bag", "id", "times").collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_weights_go_on_from_stretch_to_stretch(spark, monkeypatch, own):
+    monkeypatch.setattr(O, "STRETCH_ROWS", 100, raising=False)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("pq"), rng.choice("uvw"), rng.choice("xy")) for i in range(450)]
+    df = spark.createDataFrame([(i, "hi" if a == "p" and c == "x" else "lo", a, b, c) for i, a, b, c in rows], "id long, y string, a string, b string, c string")
+    atts, cells = ["a", "b", "c"], C.cuboid(df, ["a", "b", "c"])
+    read = []
+    real = O._pass_on
+    monkeypatch.setattr(O, "_pass_on", lambda stretch, *rest: (read.append(stretch.count()), real(stretch, *rest))[1])
+    model = O.fit_weighted_aode(df, atts, start=20, own=own)
+    whole = O.member_weights(df.select(F.lit(0).alias("part"), F.col("id").alias("seq"), "y", *atts), atts, C.labels(cells), C.domain_sizes(cells, atts), start=20, own=own)
+    want = whole.agg(F.max_by("weights", "seq")).first()[0]
+    assert [model.weights[frozenset((a,))] for a in atts] == pytest.approx(want, abs=1e-12)
+    assert len(read) == 5 and sum(read) == 450 and max(read) < 200
